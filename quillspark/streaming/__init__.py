@@ -1,0 +1 @@
+"""quillspark.streaming"""
