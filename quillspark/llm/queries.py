@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import license_scan
+from quillspark.llm import license_scan, mixing, packing, quality_rules, token_rollup, topk_search, url_reputation
 from quillspark.llm.common import table
 
 
@@ -14,9 +16,36 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels of the documents that have the pages' numbers; low quality or toxic is bad."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL OR toxic IS NOT NULL")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    return url_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.document_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan}
+    return {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_quality_rules, op5_url_reputation, op8_token_rollup, op9_topk_search, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op4_quality_rules": quality_rules.oracle(), "op5_url_reputation": url_reputation.oracle(), "op8_token_rollup": token_rollup.oracle(), "op9_topk_search": topk_search.oracle()}
