@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import license_scan, mixing, packing, quality_rules, token_rollup, topk_search, url_reputation
+from quillspark.llm import hmm_lm, language_id, license_scan, mixing, near_dedup, packing, quality_rules, token_rollup, topk_search, url_reputation
 from quillspark.llm.common import table
 
 
@@ -27,10 +27,22 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), size=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.document_totals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_source_mix, op4_quality_rules, op5_url_reputation, op8_token_rollup, op9_topk_search, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_quality_rules, op5_url_reputation, op6_hmm_lm, op7_minhash_dedup, op8_token_rollup, op9_topk_search, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
