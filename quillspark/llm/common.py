@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: One whitespace-separated word: anything but space, tab, newline, vertical tab, form feed, return.
@@ -29,9 +32,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
+    """df with its lineage cut by a reliable checkpoint in the shared folder.
+
+    Nothing reads what the checkpoint was made from any more; collecting garbage lets Spark's cleaner
+    delete the shuffle files of it now, not whenever the driver next runs short of memory.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
@@ -47,3 +57,21 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
 def text_key(text: str = "text"):
     """A 64-bit key of a text; null and empty differ."""
     return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(text)))
+
+
+#: Keys that may be broadcast: some 32 MB.
+BROADCAST_ROWS = 500_000
+
+
+def without(df: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of df whose keys are not in `dropped`, with df's columns and names.
+
+    keys: for each column of dropped the expression over df that it is compared with, null with null. The
+    keys are counted first: few are broadcast, so that the rows of df stay where they are; many are joined.
+    """
+    dropped = cut(dropped.distinct().toDF(*[f"__{k}" for k in dropped.columns]))
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[e.alias(f"__of_{k}") for k, e in keys.items()])
+    same = [F.col(f"__of_{k}").eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(dropped, reduce(and_, same), "left_anti").select("__row.*")

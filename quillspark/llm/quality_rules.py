@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE_WORD, text_key
+from quillspark.llm.common import SPACE_WORD, cut, text_key, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -99,10 +99,11 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
 
 def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of df that judge() keeps, with df's columns and names."""
-    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(doc_id).alias("__d"), F.col(host).alias("__h"), F.col(text).alias("__t"), text_key(text).alias("__k"))
-    figured = figures(whole, ["__row", "__d", "__h", "__k"], "__t")
-    figured = figured.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEAT_PERCENT * F.col("n_words")))
-    return _judged(whole, figured, "__d", "__t", "__h").where("kept").select("__row.*")
+    d = df.select(F.col(doc_id).alias("__d"), F.col(host).alias("__h"), F.col(text).alias("__t"))
+    figured = figures(d.withColumn("__k", text_key("__t")), ["__d", "__h", "__k"], "__t")
+    # cut before the verdicts are filtered: a filter moved below the figures would work them out again
+    verdicts = cut(_judged(d, figured, "__d", "__t", "__h").select(F.col("__d").alias("doc_id"), F.col("__h").alias("host"), F.col("__k").alias("key"), "kept"))
+    return without(df, verdicts.where("NOT kept").drop("kept"), {"doc_id": F.col(doc_id), "host": F.col(host), "key": text_key(text)})
 
 
 def oracle() -> str:

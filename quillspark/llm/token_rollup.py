@@ -136,13 +136,15 @@ def document_totals(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     rollup = Rollup(spark, f"{ensure_checkpoint_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    text, estimate = F.col("text"), F.floor(F.coalesce("n_chars", F.lit(0)) / 6).cast("long")
-    toxic = documents.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    revision = change(documents, "revise", "words-1", word_count(text), estimate)
-    rollup.commit("load", change(documents, "insert", "words-1", estimate))
+    estimate, words, bytes4 = F.col("estimate"), F.col("words"), F.col("bytes4")
+    # counted before anything is joined, so that no text is shuffled
+    counted = documents.select("doc_id", "source", "lang", F.floor(F.coalesce("n_chars", F.lit(0)) / 6).cast("long").alias("estimate"), word_count(F.col("text")).alias("words"), byte_count(F.col("text")).alias("bytes4"))
+    toxic = counted.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    revision = change(counted, "revise", "words-1", words, estimate)
+    rollup.commit("load", change(counted, "insert", "words-1", estimate))
     rollup.commit("revision", revision)
-    rollup.commit("bytes", change(documents, "insert", "bytes4-1", byte_count(text)))
-    rollup.commit("retraction", change(toxic, "delete", "words-1", word_count(text)).unionByName(change(toxic, "delete", "bytes4-1", byte_count(text))))
+    rollup.commit("bytes", change(counted, "insert", "bytes4-1", bytes4))
+    rollup.commit("retraction", change(toxic, "delete", "words-1", words).unionByName(change(toxic, "delete", "bytes4-1", bytes4)))
     rollup.commit("revision", revision)
     return rollup.totals()
 

@@ -22,6 +22,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import cut
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -111,9 +113,10 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     Every host of `outcomes` gets a row, labelled or not.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    # one row a host from here on; the levels above read it several times
+    hosts = cut(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     overall = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("p0"))
     suffixes = _level(suffixes.join(F.broadcast(overall)), "p0", "p1").select("suffix", "p1")
     domains = _level(domains.join(suffixes, "suffix"), "p1", "p2").select("domain", "suffix", "p2")
