@@ -1,7 +1,8 @@
 """Text functions of the core engine, as Column expressions.
 
 Patterns are literals, so Spark compiles each once a task. `(?iU)` gives Unicode word boundaries and
-case folding. Where an intermediate array is used several times, let() binds it once.
+case folding. Where an array is used inside a lambda, let() binds it: Spark may
+put the expression of a column in its place, which would then be worked out for every element.
 """
 
 from __future__ import annotations
@@ -93,6 +94,11 @@ def stdev(values: Column) -> Column:
     return F.when(F.size(values) > 1, let(mean(values), spread)).otherwise(0.0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """c rounded, halves up even where a sum of doubles falls just short of one."""
+    return F.round(c + 1e-9, digits)
+
+
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
@@ -100,9 +106,13 @@ def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
 def lexical_diversity(words: Column, window: int = 10) -> Column:
     """Distinct share of words: over the whole of a short list, else the mean over chunks that are half full."""
     share = lambda w: F.size(F.array_distinct(w)) / F.size(w)
-    chunks = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(window)), lambda s: F.slice(words, s + 1, F.lit(window)))
-    chunked = mean(F.transform(F.filter(chunks, lambda c: F.size(c) >= window // 2), share))
-    return F.when(F.size(words) == 0, 0.0).when(F.size(words) <= window, share(words)).otherwise(chunked)
+
+    def of(words: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(window)), lambda s: F.slice(words, s + 1, F.lit(window)))
+        chunked = mean(F.transform(F.filter(chunks, lambda c: F.size(c) >= window // 2), share))
+        return F.when(F.size(words) == 0, 0.0).when(F.size(words) <= window, share(words)).otherwise(chunked)
+
+    return let(words, of)
 
 
 def is_modifier(word: Column) -> Column:
@@ -115,14 +125,22 @@ def how_many(words: Column, test: Callable[[Column], Column]) -> Column:
 
 def monotonous(lengths: Column) -> Column:
     """For each place whether it ends three lengths that differ by 3 at most."""
-    at = lambda i: F.get(lengths, F.greatest(i, F.lit(0)))
-    return F.transform(lengths, lambda x, i: (i >= 2) & (F.greatest(x, at(i - 1), at(i - 2)) - F.least(x, at(i - 1), at(i - 2)) <= 3))
+
+    def of(n: Column) -> Column:
+        at = lambda i: F.get(n, F.greatest(i, F.lit(0)))
+        return F.transform(n, lambda x, i: (i >= 2) & (F.greatest(x, at(i - 1), at(i - 2)) - F.least(x, at(i - 1), at(i - 2)) <= 3))
+
+    return let(lengths, of)
 
 
 def repeated(starts: Column) -> Column:
     """For each place whether it ends three equal starts that are not empty."""
-    at = lambda i: F.get(starts, F.greatest(i, F.lit(0)))
-    return F.transform(starts, lambda x, i: (i >= 2) & (x != "") & (x == at(i - 1)) & (x == at(i - 2)))
+
+    def of(s: Column) -> Column:
+        at = lambda i: F.get(s, F.greatest(i, F.lit(0)))
+        return F.transform(s, lambda x, i: (i >= 2) & (x != "") & (x == at(i - 1)) & (x == at(i - 2)))
+
+    return let(starts, of)
 
 
 def starts(sentence_tokens: Column) -> Column:

@@ -152,13 +152,18 @@ def _revised(block: Column, target: Column, budget: Column) -> Column:
     """struct<text, changed> of a prose block, which has no blank line and so is one paragraph."""
 
     def of_sentences(s: Column) -> Column:
-        tokens = F.transform(s, T.tokens)
-        mono, same = T.monotonous(F.transform(tokens, lambda t: F.size(t))), T.repeated(T.starts(tokens))
-        flags = lambda x, i: reduce(lambda a, b: a | b, signals.found(x, i, tokens, mono, same))
-        flagged = F.transform(s, lambda x, i: F.when(budget == "minimal", flags(x, i)).otherwise(True))
-        # an annotated text is flagged wherever it stands
-        chosen = F.transform(s, lambda x, i: F.get(flagged, i) | F.exists(F.zip_with(s, flagged, lambda y, f: f & (y == x)), lambda z: z))
-        return F.zip_with(s, chosen, lambda x, f: F.when(f, cleanup_sentence(x)).otherwise(x))
+        def flagged(tokens: Column) -> Column:
+            flags = lambda mono, same: F.transform(s, lambda x, i: reduce(lambda a, b: a | b, signals.found(x, F.get(tokens, i), F.get(mono, i), F.get(same, i))))
+            mono = T.let(F.transform(tokens, lambda t: F.size(t)), T.monotonous)
+            return T.let(mono, lambda m: T.let(T.let(T.starts(tokens), T.repeated), lambda r: flags(m, r)))
+
+        def cleaned(flags: Column) -> Column:
+            # an annotated text is flagged wherever it stands
+            texts = F.filter(s, lambda x, i: F.get(flags, i))
+            return T.let(texts, lambda t: F.transform(s, lambda x: F.when(F.array_contains(t, x), cleanup_sentence(x)).otherwise(x)))
+
+        every = F.transform(s, cleanup_sentence)
+        return F.when(budget == "minimal", T.let(T.let(F.transform(s, T.tokens), flagged), cleaned)).otherwise(every)
 
     def built(s: Column) -> Column:
         def joined(new: Column) -> Column:

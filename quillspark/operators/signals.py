@@ -39,17 +39,17 @@ def segment(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"__len": F.transform("__st", lambda t: F.size(t)), "__start": T.starts(F.col("__st"))})
 
 
-def found(s: Column, i: Column, tokens: Column, mono: Column, same: Column) -> list[Column]:
-    """Whether each rule holds for sentence s at place i of a text with these tokens and runs."""
-    low, own = F.lower(s), F.get(tokens, i)
+def found(s: Column, own: Column, mono: Column, same: Column) -> list[Column]:
+    """Whether each rule holds for sentence s with tokens `own` that ends such runs."""
+    low = F.lower(s)
     return [
         T.matches(s, FILLER),
         T.how_many(own, lambda w: w.isin(L.INTENSIFIERS)) >= 2,
         T.matches(low, r"(?U)\b(?:started|began) to\b"),
         T.matches(low, "|".join(L.CLICHES)),
         T.matches(s, "—|--"),
-        F.get(mono, i),
-        F.get(same, i),
+        mono,
+        same,
         F.size(own) >= 34,
         T.matches(s, T.PASSIVE),
     ]
@@ -60,14 +60,18 @@ def annotate(df: DataFrame, text: str = "text", segmented: bool = False) -> Data
     df = df if segmented else segment(df, text)
     df = df.withColumns({"__mono": T.monotonous(F.col("__len")), "__same": T.repeated(F.col("__start"))})
 
-    def of_sentence(s: Column, i: Column) -> Column:
-        rows = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), s.alias("original"), F.lit(reason).alias("reason"), i.alias("sentence"), F.lit(n).alias("rule"))) for n, ((kind, severity, reason), hit) in enumerate(zip(RULES, found(s, i, F.col("__st"), F.col("__mono"), F.col("__same")), strict=True))]
+    # all that belongs to a sentence travels with it: a column named in a lambda could be worked out for every element
+    def of_sentence(z: Column, i: Column) -> Column:
+        s = z["__s"]
+        rows = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), s.alias("original"), F.lit(reason).alias("reason"), i.alias("sentence"), F.lit(n).alias("rule"))) for n, ((kind, severity, reason), hit) in enumerate(zip(RULES, found(s, z["__st"], z["__mono"], z["__same"]), strict=True))]
         return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
-    df = df.withColumn("__all", F.flatten(F.transform("__s", of_sentence)))
-    df = df.withColumn("__keys", F.transform("__all", lambda a: F.concat_ws("\u0001", a["type"], a["original"])))
-    first = F.filter("__all", lambda a, i: F.array_position(F.col("__keys"), F.get(F.col("__keys"), i)) == i + 1)
-    return df.withColumn("__ann", first.cast(f"array<{ANNOTATION}>")).drop("__all", "__keys")
+    def firsts(rows: Column) -> Column:
+        keys = F.transform(rows, lambda a: F.concat_ws("\u0001", a["type"], a["original"]))
+        return T.let(keys, lambda k: F.filter(rows, lambda a, i: F.array_position(k, F.get(k, i)) == i + 1))
+
+    every = F.flatten(F.transform(F.arrays_zip("__s", "__st", "__mono", "__same"), of_sentence))
+    return df.withColumn("__ann", T.let(every, firsts).cast(f"array<{ANNOTATION}>"))
 
 
 def signals(df: DataFrame, text: str = "text") -> DataFrame:
@@ -120,10 +124,14 @@ def scores(df: DataFrame, text: str = "text") -> DataFrame:
 
 def unflagged(df: DataFrame) -> DataFrame:
     """annotate(df) with __clean: the text without its flagged sentences, or all of it if none would be left."""
-    df = df.withColumn("__flag", F.array_distinct(F.transform(F.filter("__ann", lambda a: a["severity"] >= FLAGGED), lambda a: T.strip(a["original"]))))
-    kept = F.transform(T.paragraphs(F.col("__t")), lambda p: F.array_join(F.filter(T.sentences(p), lambda s: ~F.array_contains(F.col("__flag"), T.strip(s))), " "))
-    clean = T.strip(F.array_join(F.filter(kept, lambda p: p != ""), "\n\n"))
-    return df.withColumn("__clean", F.when(F.size("__flag") == 0, F.col("__t")).otherwise(F.coalesce(F.nullif(clean, F.lit("")), F.col("__t"))))
+    flag = F.array_distinct(F.transform(F.filter("__ann", lambda a: a["severity"] >= FLAGGED), lambda a: T.strip(a["original"])))
+
+    def clean(flag: Column) -> Column:
+        kept = F.transform(T.paragraphs(F.col("__t")), lambda p: F.array_join(F.filter(T.sentences(p), lambda s: ~F.array_contains(flag, T.strip(s))), " "))
+        left = T.strip(F.array_join(F.filter(kept, lambda p: p != ""), "\n\n"))
+        return F.when(F.size(flag) == 0, F.col("__t")).otherwise(F.coalesce(F.nullif(left, F.lit("")), F.col("__t")))
+
+    return df.withColumn("__clean", T.let(flag, clean))
 
 
 def analyse(df: DataFrame, text: str = "text", out: str = "analysis") -> DataFrame:

@@ -88,10 +88,10 @@ def slugify(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", T.slugify(F.left(F.col("text"), F.lit(60))).alias("slug"))
 
 
-@query(f"WITH {S.BASE}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM c),{S.diversity('ld', 'tok', 'doc_id', 't')} SELECT doc_id, round(coalesce(ld, 0), 6) AS lexical_diversity FROM c LEFT JOIN ld USING (doc_id)")
+@query(f"WITH {S.BASE}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM c),{S.diversity('ld', 'tok', 'doc_id', 't')} SELECT doc_id, round(coalesce(ld, 0) + 1e-9, 6) AS lexical_diversity FROM c LEFT JOIN ld USING (doc_id)")
 def lexical_diversity_chunked(spark, sf_dir):
     d = corpus(spark, sf_dir).withColumn("w", T.tokens(F.col("text")))
-    return d.select("doc_id", F.round(T.lexical_diversity(F.col("w")), 6).alias("lexical_diversity"))
+    return d.select("doc_id", F.round(T.lexical_diversity(F.col("w")) + 1e-9, 6).alias("lexical_diversity"))
 
 
 @query(f"WITH {S.BASE}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM c) SELECT doc_id, {', '.join(f'len(list_filter(t, lambda w: {test}))::INT AS {k}' for k, test in {'intensifiers': 'w IN ' + S.names(L.INTENSIFIERS), 'generic': 'w IN ' + S.names(L.GENERIC_WORDS), 'abstract': 'w IN ' + S.names(L.ABSTRACT_WORDS), 'modifiers': S.MODIFIER}.items())} FROM tok")
@@ -110,7 +110,7 @@ def monotonous_runs(spark, sf_dir):
     return d.select("doc_id", T.truths(T.monotonous(F.col("__len"))).cast("long").alias("monotonous_runs"))
 
 
-@query(_FACTS + ", some AS (SELECT doc_id, start, lag(start) OVER o AS a, lag(start, 2) OVER o AS b FROM f WHERE start <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, count(*) FILTER (start = a AND start = b) AS repeated_starts FROM c LEFT JOIN some USING (doc_id) GROUP BY doc_id")
+@query(_FACTS + ", opening AS (SELECT doc_id, start, lag(start) OVER o AS a, lag(start, 2) OVER o AS b FROM f WHERE start <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, count(*) FILTER (start = a AND start = b) AS repeated_starts FROM c LEFT JOIN opening USING (doc_id) GROUP BY doc_id")
 def repeated_starts(spark, sf_dir):
     d = signals.segment(corpus(spark, sf_dir))
     return d.select("doc_id", T.truths(T.repeated(F.filter("__start", lambda s: s != ""))).cast("long").alias("repeated_starts"))
@@ -120,8 +120,8 @@ def repeated_starts(spark, sf_dir):
 def sentence_annotations(spark, sf_dir):
     """All annotations, one row each, before repeated ones go."""
     d = signals.annotate(corpus(spark, sf_dir))
-    d = d.select("doc_id", "__st", "__mono", "__same", F.posexplode("__s").alias("sentence", "original"))
-    rows = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(n).alias("rule"))) for n, ((kind, severity, _), hit) in enumerate(zip(signals.RULES, signals.found(F.col("original"), F.col("sentence"), F.col("__st"), F.col("__mono"), F.col("__same")), strict=True))]
+    d = d.select("doc_id", F.posexplode(F.arrays_zip("__s", "__st", "__mono", "__same")).alias("sentence", "z")).select("doc_id", "sentence", "z.*").withColumnRenamed("__s", "original")
+    rows = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(n).alias("rule"))) for n, ((kind, severity, _), hit) in enumerate(zip(signals.RULES, signals.found(F.col("original"), F.col("__st"), F.col("__mono"), F.col("__same")), strict=True))]
     d = d.select("doc_id", "sentence", "original", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("a"))
     return d.select("doc_id", "a.type", "a.severity", "original", "sentence", "a.rule")
 
@@ -173,7 +173,7 @@ def voice_profile(spark, sf_dir):
     return _profiled(spark, sf_dir).select("doc_id", "p.*")
 
 
-_MEANS = ", ".join(f"round(avg({k}), 4) AS {k}" for k in voice.KEYS)
+_MEANS = ", ".join(f"round(avg({k}) + 1e-9, 4) AS {k}" for k in voice.KEYS)
 _BLEND = f"{_PROFILE}, b AS (SELECT source, {_MEANS} FROM vp JOIN c USING (doc_id) GROUP BY source)"
 
 
@@ -203,7 +203,7 @@ def outlier_reason(spark, sf_dir):
     return _with_batch(_profiled(spark, sf_dir)).select("doc_id", voice.outlier_reason(F.col("p"), F.col("b")).alias("reason"))
 
 
-@query(f"{_PROFILE}, m AS (SELECT vp.*, source FROM vp JOIN c USING (doc_id)) SELECT a.source, count(*) AS pairs, round(avg({S.distance('a', 'b')}), 4) AS batch_voice_variance FROM m a JOIN m b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source")
+@query(f"{_PROFILE}, m AS (SELECT vp.*, source FROM vp JOIN c USING (doc_id)) SELECT a.source, count(*) AS pairs, round(avg({S.distance('a', 'b')}) + 1e-9, 4) AS batch_voice_variance FROM m a JOIN m b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source")
 def batch_pair_variance(spark, sf_dir):
     return voice.variance(_profiled(spark, sf_dir), "source", "doc_id", "p")
 
@@ -213,7 +213,7 @@ _HOUSE = "CASE WHEN modes.mode = 'house-voice' THEN "
 
 @query(
     f"{_BLEND}, h AS (SELECT {_MEANS} FROM vp JOIN labels l USING (doc_id) WHERE l.quality = 1), modes AS (SELECT source, CASE CAST(replace(source, 'src', '') AS INTEGER) % 3 WHEN 0 THEN 'house-voice' WHEN 1 THEN 'hybrid' ELSE 'preserve-batch-voice' END AS mode FROM b) "
-    f"SELECT source, mode, {', '.join(f'CASE mode WHEN ' + chr(39) + 'house-voice' + chr(39) + f' THEN h.{k} WHEN ' + chr(39) + 'hybrid' + chr(39) + f' THEN round((b.{k} + h.{k}) / 2, 4) ELSE b.{k} END AS {k}' for k in voice.KEYS)} FROM b JOIN modes USING (source), h"
+    f"SELECT source, mode, {', '.join(f'CASE mode WHEN ' + chr(39) + 'house-voice' + chr(39) + f' THEN h.{k} WHEN ' + chr(39) + 'hybrid' + chr(39) + f' THEN round((b.{k} + h.{k}) / 2 + 1e-9, 4) ELSE b.{k} END AS {k}' for k in voice.KEYS)} FROM b JOIN modes USING (source), h"
 )
 def target_profile(spark, sf_dir):
     """Targets of batches in all three modes; the house's voice is that of documents labelled as good."""
@@ -280,6 +280,8 @@ def fence_blocks(spark, sf_dir):
 
 def _processed(spark, sf_dir):
     docs = corpus(spark, sf_dir).select(F.col("source").alias("batch_id"), "doc_id", F.col("text").alias("original_text"))
+    # rewriting costs far more than moving the texts once: deal them out evenly, whatever the files are like
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     number = F.regexp_replace("batch_id", "src", "").cast("int") % 3
     mode = F.when(number == 0, "house-voice").when(number == 1, "hybrid").otherwise("preserve-batch-voice")
     batches = docs.select("batch_id").distinct().select("batch_id", mode.alias("mode"), F.when(number == 2, "minimal").otherwise("medium").alias("edit_budget"), F.lit("We can't wait. It's late! The rain fell on the roof all night, and nobody slept.").alias("house_voice_samples"), F.lit(None).cast("string").alias("voice_pack_id"))

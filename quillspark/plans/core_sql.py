@@ -104,8 +104,8 @@ def core() -> str:
 tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM c),{diversity("ld", "tok", "doc_id", "t")},
 per_ann AS (SELECT doc_id, count(*) FILTER (type = 'filler') AS filler_hits, count(*) FILTER (type = 'rhythm') AS rhythm_hits FROM ann GROUP BY doc_id),
 per_sent AS (SELECT doc_id, count(*) AS sentence_count, count(*) FILTER (mono) AS monotonous_runs, CASE WHEN count(*) > 1 THEN stddev_pop(n) ELSE 0 END AS sd FROM f GROUP BY doc_id),
-some AS (SELECT doc_id, start, lag(start) OVER o AS a, lag(start, 2) OVER o AS b FROM f WHERE start <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-per_start AS (SELECT doc_id, count(*) FILTER (start = a AND start = b) AS repeated_starts FROM some GROUP BY doc_id),
+opening AS (SELECT doc_id, start, lag(start) OVER o AS a, lag(start, 2) OVER o AS b FROM f WHERE start <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+per_start AS (SELECT doc_id, count(*) FILTER (start = a AND start = b) AS repeated_starts FROM opening GROUP BY doc_id),
 raw AS (SELECT doc_id, source, coalesce(filler_hits, 0) AS filler_hits, coalesce(rhythm_hits, 0) AS rhythm_hits, len(list_filter(t, lambda w: {MODIFIER})) AS modifier_hits,
   {counted(ASCII.format("lower(text)"), words(L.TRANSITIONS))} AS transition_hits, {" + ".join(f"contains(lower(text), {quote(p)})::INT" for p in L.CLICHES)} AS cliche_hits,
   len(list_filter(t, lambda w: w IN {names(L.GENERIC_WORDS)})) AS generic_hits, len(list_filter(t, lambda w: w IN {names(L.ABSTRACT_WORDS)})) AS abstract_hits,
@@ -129,14 +129,14 @@ def profiles(out: str, source: str, key: str, text: str) -> str:
 {out}_l AS (SELECT {key}, CAST(len(regexp_extract_all(lower(s), '[a-z'']+')) AS INTEGER) AS n FROM {out}_s),
 {out}_m AS (SELECT {key}, count(*) AS k, avg(n) AS mean, stddev_pop(n) AS sd, count(*) FILTER (n >= 24) AS long, count(*) FILTER (n <= 5) AS short FROM {out}_l GROUP BY {key}),
 {out}_w AS (SELECT {key}, {text} AS x, regexp_extract_all(lower({text}), '[a-z'']+') AS t FROM {source}),{diversity(out + "_d", out + "_w", key, "t")},
-{out} AS (SELECT {key}, coalesce(round(mean, 3), 0) AS avg_sentence_length, coalesce(round(sd, 3), 0) AS sentence_length_std, coalesce(round(para, 3), 0) AS avg_paragraph_sentences,
-  round({literal("x", '"')} / greatest(2, length(x)), 4) AS dialogue_ratio, round(len(list_filter(t, lambda w: contains(w, ''''))) / greatest(1, len(t)), 4) AS contraction_rate,
-  round({literal("x", ",")} / greatest(1, coalesce(k, 1)), 4) AS comma_rate, round({literal("x", "?")} / greatest(1, coalesce(k, 1)), 4) AS question_rate, round({literal("x", "!")} / greatest(1, coalesce(k, 1)), 4) AS exclamation_rate,
-  round(({literal("x", "—")} + {literal("x", "--")}) / greatest(1, coalesce(k, 1)), 4) AS emdash_rate, round({literal("x", ";")} / greatest(1, coalesce(k, 1)), 4) AS semicolon_rate, coalesce(round(ld, 4), 0) AS lexical_diversity,
-  round(coalesce(long, 0) / greatest(1, coalesce(k, 1)), 4) AS long_sentence_rate, round(coalesce(short, 0) / greatest(1, coalesce(k, 1)), 4) AS fragment_rate, round(len(list_filter(t, lambda w: {MODIFIER})) / greatest(1, len(t)), 4) AS modifier_rate
+{out} AS (SELECT {key}, coalesce(round(mean + 1e-9, 3), 0) AS avg_sentence_length, coalesce(round(sd + 1e-9, 3), 0) AS sentence_length_std, coalesce(round(para + 1e-9, 3), 0) AS avg_paragraph_sentences,
+  round({literal("x", '"')} / greatest(2, length(x)) + 1e-9, 4) AS dialogue_ratio, round(len(list_filter(t, lambda w: contains(w, ''''))) / greatest(1, len(t)) + 1e-9, 4) AS contraction_rate,
+  round({literal("x", ",")} / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS comma_rate, round({literal("x", "?")} / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS question_rate, round({literal("x", "!")} / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS exclamation_rate,
+  round(({literal("x", "—")} + {literal("x", "--")}) / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS emdash_rate, round({literal("x", ";")} / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS semicolon_rate, coalesce(round(ld + 1e-9, 4), 0) AS lexical_diversity,
+  round(coalesce(long, 0) / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS long_sentence_rate, round(coalesce(short, 0) / greatest(1, coalesce(k, 1)) + 1e-9, 4) AS fragment_rate, round(len(list_filter(t, lambda w: {MODIFIER})) / greatest(1, len(t)) + 1e-9, 4) AS modifier_rate
   FROM {out}_w LEFT JOIN {out}_m USING ({key}) LEFT JOIN {out}_d USING ({key}) LEFT JOIN {out}_pm ON owner = {key})"""
 
 
 def distance(left: str, right: str) -> str:
     terms = [f"abs({left}.{k} - {right}.{k}) / greatest(abs({left}.{k}), abs({right}.{k}), {0.2 if 'rate' in k else 2.0}) * {w}" for k, w in L.VOICE_WEIGHTS.items()]
-    return f"round({' + '.join(terms)}, 4)"
+    return f"round({' + '.join(terms)} + 1e-9, 4)"
