@@ -3,14 +3,16 @@
 Base figures come from the document alone and stay in its partition. The method counts, for every host
 (here the source), in how many different documents each normalised line stands; a line in more than
 the host's limit is removed from all of them but the first (the smallest doc_id), and a document that
-loses more than `max_lost` of its words is depleted and rejected.
+loses more than `max_lost` of its words is depleted and rejected. judge() gives the verdicts; keep() gives
+the documents that pass, their text without the removed lines.
 
 Lines travel as (host, 64-bit hash) and are made distinct by document before they are counted, so a line
 that a third of all documents share is pre-aggregated in every task. Only frequent lines are joined back.
 
 Defined results: null text counts as empty and fails the base rule; a null host is a host of its own;
 rows that repeat doc_id, host and text share one verdict, exact copies of a text count as one document;
-lines without a letter are never counted. Extra columns are not read.
+lines without a letter are never counted. Extra columns are not read; keep() sets n_chars of the texts it
+changes, where there is such a column.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import SPACE_WORD, cut, text_key, without
+from quillspark.llm.common import BROADCAST_ROWS, SPACE_WORD, cut, text_key
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -39,6 +41,18 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(SPACE_WORD)))
 
 
+def placed_lines(text: Column) -> Column:
+    """array<struct<pos,line>>: lines_of() with their places among all lines of the text."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))), lambda s: F.rlike(s["line"], F.lit(SPACE_WORD)))
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """text without the lines at these places; the others stay as they are, empty ones included."""
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i))
+    # the lines are bound once: a split inside the lambda would be worked out for every line
+    return F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(left(lines), "\n")), F.lit(0))
+
+
 def figures(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
@@ -70,19 +84,19 @@ def figures(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def lost_words(df: DataFrame, doc_id: str, text: str, host: str, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
-    """__d, __h, __k (doc_id, host, text key) and __lost: the words in frequent lines, for documents that have any."""
-    rows = df.select(F.col(doc_id).alias("__d"), F.col(host).alias("__h"), text_key(text).alias("__k"), F.posexplode(lines_of(F.col(text))).alias("__pos", "__line"))
+    """__d, __h, __k (doc_id, host, text key), __lost and __gone: the words in frequent lines and the places of these, for documents that have any."""
+    rows = df.select(F.col(doc_id).alias("__d"), F.col(host).alias("__h"), text_key(text).alias("__k"), F.explode(placed_lines(F.col(text))).alias("__at")).select("__d", "__h", "__k", F.col("__at.pos").alias("__pos"), F.col("__at.line").alias("__line"))
     rows = rows.select("__d", "__h", "__k", "__pos", normalised(F.col("__line")).alias("__norm"), F.regexp_count("__line", F.lit(SPACE_WORD)).alias("__n"))
     rows = rows.where("__norm <> ''").select("__d", "__h", "__k", "__pos", F.xxhash64("__norm").alias("__x"), "__n")
     seen = rows.groupBy("__h", "__x", "__k").agg(F.min("__d").alias("__d")).groupBy("__h", "__x").agg(F.count("*").alias("__c"), F.min("__d").alias("__first")).where(F.col("__c") > limit_docs)
     hosts = df.groupBy(F.col(host).alias("__host")).agg((F.count("*") * limit_share).alias("__limit"))
     often = seen.join(hosts, F.col("__h").eqNullSafe(F.col("__host"))).where("__c > __limit").select(F.col("__h").alias("__fh"), F.col("__x").alias("__fx"), "__first")
     hit = rows.join(often, F.col("__h").eqNullSafe(F.col("__fh")) & (F.col("__x") == F.col("__fx"))).where("NOT (__d <=> __first)")
-    return hit.select("__d", "__h", "__k", "__pos", "__n").distinct().groupBy("__d", "__h", "__k").agg(F.sum("__n").alias("__lost"))
+    return hit.select("__d", "__h", "__k", "__pos", "__n").distinct().groupBy("__d", "__h", "__k").agg(F.sum("__n").alias("__lost"), F.sort_array(F.collect_list("__pos")).alias("__gone"))
 
 
 def _judged(df: DataFrame, figured: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    lost = lost_words(df, doc_id, text, host).select(F.col("__d").alias("__d2"), F.col("__h").alias("__h2"), F.col("__k").alias("__k2"), "__lost")
+    lost = lost_words(df, doc_id, text, host).select(F.col("__d").alias("__d2"), F.col("__h").alias("__h2"), F.col("__k").alias("__k2"), "__lost", "__gone")
     joined = figured.join(lost, F.col("__d").eqNullSafe(F.col("__d2")) & F.col("__h").eqNullSafe(F.col("__h2")) & (F.col("__k") == F.col("__k2")), "left").drop("__d2", "__h2", "__k2")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost_n = F.coalesce("__lost", F.lit(0)).cast("long")
@@ -97,13 +111,25 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
     return out.select(F.col("__d").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
-def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of df that judge() keeps, with df's columns and names."""
+def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of df that judge() keeps, with df's columns and names, their texts without frequent lines."""
     d = df.select(F.col(doc_id).alias("__d"), F.col(host).alias("__h"), F.col(text).alias("__t"))
     figured = figures(d.withColumn("__k", text_key("__t")), ["__d", "__h", "__k"], "__t")
     # cut before the verdicts are filtered: a filter moved below the figures would work them out again
-    verdicts = cut(_judged(d, figured, "__d", "__t", "__h").select(F.col("__d").alias("doc_id"), F.col("__h").alias("host"), F.col("__k").alias("key"), "kept"))
-    return without(df, verdicts.where("NOT kept").drop("kept"), {"doc_id": F.col(doc_id), "host": F.col(host), "key": text_key(text)})
+    verdicts = cut(_judged(d, figured, "__d", "__t", "__h").select("__d", "__h", "__k", "kept", "__gone"))
+    changes = cut(verdicts.where("NOT kept OR __gone IS NOT NULL").select("__d", "__h", "__k", F.when(F.col("kept"), F.col("__gone")).alias("__gone"), F.lit(True).alias("__any")).distinct())
+    size = changes.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= 4 * BROADCAST_ROWS:
+        changes = F.broadcast(changes)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(doc_id).alias("__of_d"), F.col(host).alias("__of_h"), text_key(text).alias("__of_k"))
+    same = F.col("__of_d").eqNullSafe(F.col("__d")) & F.col("__of_h").eqNullSafe(F.col("__h")) & F.col("__of_k").eqNullSafe(F.col("__k"))
+    rows = rows.join(changes, same, "left").where("__any IS NULL OR __gone IS NOT NULL")
+    gone, old = F.col("__gone"), F.col("__row")[text]
+    rows = rows.select("__row", F.when(gone.isNotNull(), without_lines(old, gone)).otherwise(old).alias("__text"), gone.isNotNull().alias("__changed"))
+    new = {text: F.col("__text")}
+    if n_chars in df.columns:
+        new[n_chars] = F.when(F.col("__changed"), F.length("__text").cast(df.schema[n_chars].dataType)).otherwise(F.col("__row")[n_chars])
+    return rows.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in df.columns])
 
 
 def oracle() -> str:

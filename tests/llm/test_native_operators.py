@@ -101,6 +101,17 @@ def test_quality_frequent_lines(documents):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
 
 
+def test_quality_kept_carriers_lose_their_frequent_lines(documents):
+    """Frequent lines around and between a text's own; 30 carriers, a repeated row, another host, an untouched text."""
+    menu, foot = "Home | About us | Terms of use", "Copyright 2019, all rights reserved by us"
+    full = [f"{menu}\n\n{unique(i, 60)}\n{foot}\n{menu}\n{unique(50 + i, 40)}\n{foot} {i}\n" for i in range(30)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(full)] + [(7, full[7], "en", "a"), (None, full[8], "en", "a"), (200, full[9], "en", "b"), (201, unique(201) + "\n\n" + menu, "en", "a"), (202, unique(202), "en", None)]
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.text, r.n_chars) for r in quality_rules.keep(documents(rows)).collect()))
+    bare = {i: f"\n{unique(i, 60)}\n{unique(50 + i, 40)}\n" for i in range(30)}
+    expected = [(i, bare[i], len(bare[i])) for i in [*range(1, 30), 7]] + [(-1, bare[8], len(bare[8])), (0, full[0], None), (200, full[9], None), (201, unique(201) + "\n", len(unique(201)) + 1), (202, unique(202), None)]
+    assert got == sorted(expected)
+
+
 def test_quality_exact_copies_count_once(documents):
     df = documents([(i, unique(1), "en", "a") for i in range(100)])
     assert all(r.kept for r in quality_rules.judge(df).collect())
