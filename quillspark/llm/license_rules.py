@@ -35,10 +35,12 @@ NAMED = [
     ("apache-1.1", "apache", f"apache(?: software)? license{_V} 1 1"),
     ("apache-2.0", "apache", f"apache(?: software)?(?: license)?{_V} 2(?: 0)?"),
     ("apache", "apache", "apache(?: software)? licen[cs]e"),
-    ("mit", " mit ", "(?:mit|expat)(?: x11)? licen[cs]e"),
+    ("mit", " mit ", "mit(?: x11)? licen[cs]e"),
+    ("mit", "expat", "expat(?: x11)? licen[cs]e"),
     ("mit-0", "attribution", "mit no attribution"),
     ("x11", "x11", "x11 licen[cs]e"),
-    ("bsd-4-clause", "clause", "(?:original bsd|(?:bsd )?(?:4|four) clause(?: bsd)?) licen[cs]e"),
+    ("bsd-4-clause", "clause", "(?:bsd )?(?:4|four) clause(?: bsd)? licen[cs]e"),
+    ("bsd-4-clause", "original", "original bsd licen[cs]e"),
     ("bsd-3-clause", "clause", "(?:bsd )?(?:3|three) clause(?: bsd)? licen[cs]e"),
     ("bsd-2-clause", "clause", "(?:bsd )?(?:2|two) clause(?: bsd)? licen[cs]e"),
     ("bsd-0-clause", "clause", "(?:bsd )?(?:0|zero) clause(?: bsd)? licen[cs]e"),
@@ -116,12 +118,14 @@ NAMED = [
     ("upl-1.0", "permissive", "universal permissive license"),
     ("blueoak-1.0", "blue", "blue oak model license"),
     ("cecill-2.1", "cecill", f"cecill{_V}(?: free software license agreement)?(?: 2 1)?"),
-    ("mulan-2.0", "mulan", f"mulan (?:psl|permissive software license){_V}(?: 2)?"),
+    ("mulan-2.0", "mulan", f"mulan psl{_V}(?: 2)?"),
+    ("mulan-2.0", "mulan", f"mulan permissive software license{_V}(?: 2)?"),
     ("bsl-1.1", "business", f"business source license{_V}(?: 1 1)?"),
     ("sspl-1.0", "server", f"server side public license{_V}(?: 1)?"),
     ("elastic-2.0", "elastic", f"elastic license{_V}(?: 2 0)?"),
     ("polyform-nc", "polyform", "polyform noncommercial license"),
-    ("openrail", "openrail", "(?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?"),
+    ("openrail", "openrail", "(?:creativeml |bigscience )?openrail(?: m)?(?: license)?"),
+    ("openrail", " rail ", "(?:creativeml |bigscience )?open rail(?: m)?(?: license)?"),
     ("llama-community", "community", "llama (?:[0-9]+ )*community license(?: agreement)?"),
     ("ipa", " ipa ", "ipa font license"),
     ("lppl-1.3", "latex", f"latex project public license{_V}(?: 1 3c?)?"),

@@ -61,6 +61,51 @@ def test_license_rules_are_many_and_gated():
     assert len(table) > 250 and all(re.compile(license_scan.spaced(r.pattern)) for r in table)
 
 
+def samples(pattern):
+    """Texts that a rule's pattern matches: each alternative, each option with and without."""
+
+    def of(parsed):
+        out = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                more = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in arg]
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif name == "SUBPATTERN":
+                more = of(arg[-1])
+            else:
+                least, most, inner = arg
+                assert name == "MAX_REPEAT"
+                more = [x * n for x in of(inner) for n in {least, max(least, min(most, 1))}]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return {" ".join(x.split()) for x in of(re._parser.parse(pattern))}
+
+
+def test_license_samples_pass_gate_and_keyword():
+    """A word of the gate and the rule's keyword stand in whatever the rule matches."""
+    table = license_rules.rules()
+    gate = {license_scan.gate_word(r) for r in table}
+    lost = set()
+    for r in table:
+        for s in samples(r.pattern):
+            norm = " " + "  ".join(s.split()) + " "
+            if re.search(license_scan.spaced(r.pattern), norm) and (license_scan.keyword(r) not in norm or not any(w in s for w in gate)):
+                lost.add((r.label, r.keyword, s))
+    assert not lost, sorted(lost)[:10]
+
+
+def test_license_alternatives_get_their_labels(documents):
+    texts = {"Expat License": "mit", "released under the Expat licence": "mit", "original BSD license": "bsd-4-clause", "Open RAIL-M": "openrail", "available under OpenRAIL": "openrail", "Mulan PSL v2": "mulan-2.0", "MIT X11 license": "mit"}
+    got = license_scan.scan(documents([(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    labels = {r.doc_id: set(r.labels.split(",")) for r in got}
+    assert all(want in labels[i] for i, want in enumerate(texts.values())), labels
+
+
 def test_license_awkward_and_empty(awkward, nothing):
     rows = license_scan.scan(awkward).collect()
     assert len(rows) == awkward.count() and license_scan.scan(nothing).count() == 0
