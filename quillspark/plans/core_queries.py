@@ -85,7 +85,7 @@ def char_counts(spark, sf_dir):
 
 @query(f"WITH {S.BASE} SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower({S.strip('left(text, 60)')}), '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM c")
 def slugify(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", T.slugify(F.left(F.col("text"), F.lit(60))).alias("slug"))
+    return corpus(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(f"WITH {S.BASE}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS t FROM c),{S.diversity('ld', 'tok', 'doc_id', 't')} SELECT doc_id, round(coalesce(ld, 0) + 1e-9, 6) AS lexical_diversity FROM c LEFT JOIN ld USING (doc_id)")

@@ -1,12 +1,14 @@
 """Core engine: segmentation, signals, voice, rewriting and batches on small texts of our own."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as L
 from quillspark.functions import text as T
 from quillspark.operators import rewrite, signals, voice
-from quillspark.plans import batch
+from quillspark.plans import batch, core_queries
 
 
 def value(spark, column, **named):
@@ -89,3 +91,13 @@ def test_batches(spark):
     assert rows["b1"].document_count == 2 and rows["b2"].document_count == 1 and rows["b2"].batch_voice_variance == 0
     one = {r.doc_id: r for r in done.collect()}
     assert one[1].change_count > 0 and one[1].quality_delta >= -2
+
+
+def test_slugify_covers_the_whole_text(spark, tmp_path):
+    texts = ["One two " * 40 + "the END.", "-" * 70 + "Late", "  ", "x"]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.slug for r in core_queries.slugify(spark, str(tmp_path)).collect()}
+    whole = {r.doc_id: r.text for r in core_queries.corpus(spark, str(tmp_path)).collect()}
+    assert got == {i: re.sub(r"[^a-zA-Z0-9]+", "-", t.strip().lower()).strip("-") or "untitled" for i, t in whole.items()}
+    assert got[0].startswith("one-two-" * 40 + "the-end")
