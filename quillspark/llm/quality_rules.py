@@ -2,7 +2,7 @@
 
 Base figures come from the document alone and stay in its partition. The method counts, for every host
 (here the source), in how many different documents each normalised line stands; a line in more than
-the host's limit is removed from all of them but the first (the smallest doc_id), and a document that
+`LIMIT_DOCS` is removed from all of them but the first (the smallest doc_id), and a document that
 loses more than `max_lost` of its words is depleted and rejected. judge() gives the verdicts; keep() gives
 the documents that pass, their text without the removed lines.
 
@@ -24,8 +24,9 @@ from quillspark.llm.common import BROADCAST_ROWS, SPACE_WORD, cut, text_key
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is frequent in a host beyond this many documents, and beyond this share of the host's documents.
+#: A line is frequent in a host beyond this many documents of different text, whatever else the host holds.
 LIMIT_DOCS = 20
+#: Only the SQL asks for this share of the host's rows too; they differ in hosts of more than LIMIT_DOCS / LIMIT_SHARE rows.
 LIMIT_SHARE = 0.002
 #: A document is depleted when more than this share of its words stands in frequent lines.
 MAX_LOST = 0.6
@@ -83,14 +84,13 @@ def figures(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return d.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def lost_words(df: DataFrame, doc_id: str, text: str, host: str, limit_docs: int = LIMIT_DOCS, limit_share: float = LIMIT_SHARE) -> DataFrame:
+def lost_words(df: DataFrame, doc_id: str, text: str, host: str, limit_docs: int = LIMIT_DOCS) -> DataFrame:
     """__d, __h, __k (doc_id, host, text key), __lost and __gone: the words in frequent lines and the places of these, for documents that have any."""
     rows = df.select(F.col(doc_id).alias("__d"), F.col(host).alias("__h"), text_key(text).alias("__k"), F.explode(placed_lines(F.col(text))).alias("__at")).select("__d", "__h", "__k", F.col("__at.pos").alias("__pos"), F.col("__at.line").alias("__line"))
     rows = rows.select("__d", "__h", "__k", "__pos", normalised(F.col("__line")).alias("__norm"), F.regexp_count("__line", F.lit(SPACE_WORD)).alias("__n"))
     rows = rows.where("__norm <> ''").select("__d", "__h", "__k", "__pos", F.xxhash64("__norm").alias("__x"), "__n")
     seen = rows.groupBy("__h", "__x", "__k").agg(F.min("__d").alias("__d")).groupBy("__h", "__x").agg(F.count("*").alias("__c"), F.min("__d").alias("__first")).where(F.col("__c") > limit_docs)
-    hosts = df.groupBy(F.col(host).alias("__host")).agg((F.count("*") * limit_share).alias("__limit"))
-    often = seen.join(hosts, F.col("__h").eqNullSafe(F.col("__host"))).where("__c > __limit").select(F.col("__h").alias("__fh"), F.col("__x").alias("__fx"), "__first")
+    often = seen.select(F.col("__h").alias("__fh"), F.col("__x").alias("__fx"), "__first")
     hit = rows.join(often, F.col("__h").eqNullSafe(F.col("__fh")) & (F.col("__x") == F.col("__fx"))).where("NOT (__d <=> __first)")
     return hit.select("__d", "__h", "__k", "__pos", "__n").distinct().groupBy("__d", "__h", "__k").agg(F.sum("__n").alias("__lost"), F.sort_array(F.collect_list("__pos")).alias("__gone"))
 

@@ -157,6 +157,21 @@ def test_quality_kept_carriers_lose_their_frequent_lines(documents):
     assert got == sorted(expected)
 
 
+def test_quality_other_rows_free_no_line(spark, documents):
+    """Neither unrelated rows nor exact copies in the host raise the limit."""
+    menu = "Home | About us | Terms of use"
+    df = documents([(i, f"{menu}\n{unique(i)}", "en", "a") for i in range(30)])
+
+    def lost(more):
+        rows = df.select("doc_id", "text", "source").unionByName(more) if more is not None else df
+        return {(r["__d"], r["__lost"]) for r in quality_rules.lost_words(rows, "doc_id", "text", "source").collect()}
+
+    many = spark.range(1000, 17000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
+    assert lost(None) == {(i, 8) for i in range(1, 30)}
+    assert lost(many.withColumn("text", F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"))) == lost(None)
+    assert lost(many.withColumn("text", F.lit("one text"))) == lost(None)
+
+
 def test_quality_exact_copies_count_once(documents):
     df = documents([(i, unique(1), "en", "a") for i in range(100)])
     assert all(r.kept for r in quality_rules.judge(df).collect())
