@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, text_bytes
+from quillspark.llm.common import cut, small_batches, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
@@ -84,7 +84,8 @@ def pieces(df: DataFrame, vocabulary: str, doc_id: str, text: str, capacity: int
                 for k, at in enumerate(range(0, n, capacity)):
                     size = min(capacity, n - at)
                     docs.append(d)
-                    rows.append((k, at, size, zlib.crc32(packed[4 * at : 4 * (at + size)])))
+                    rows.append((k, at, size, zlib.crc32(packed if size == n else packed[4 * at : 4 * (at + size)])))
+        ids.forget()
         if not rows:
             return
         table = np.array(rows, "int64")
@@ -97,6 +98,7 @@ def pieces(df: DataFrame, vocabulary: str, doc_id: str, text: str, capacity: int
             cols += [pa.array(np.full(n, part, "int64")), pa.array((part << 32) + where[s]), pa.array(off[s]), pa.array(fill[where[s]]), pa.array(is_open[where[s]])]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "bin", "off", "fill", "open"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _PIECES)
 
 

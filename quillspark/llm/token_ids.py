@@ -1,12 +1,12 @@
 """Token ids by a public vocabulary, packed as little-endian unsigned 32-bit numbers.
 
 White space always ends a token of the vocabularies that this is used with, so the ids of a text are
-those of its words one after the other; a bounded table keeps the ids of words seen. Texts that may hold
-a special token's string go to the tokenizer whole.
+those of its words one after the other; a bounded table keeps the ids of words seen lately. Texts that
+may hold a special token's string go to the tokenizer whole.
 
-Where a vocabulary marks the ends of words and has lower case only, two short cuts spare most of the
-tokenizer's calls: upper case of ASCII is lowered first, and words of Latin letters alone are learned
-many at a time as one text, whose ids are told apart by the marks.
+Where a vocabulary marks the ends of words and has lower case only, upper case of ASCII is lowered first, a
+run of punctuation after a last letter is a piece of its own, and a word of Latin letters alone is one piece, which
+goes to the vocabulary's model without the tokenizer's passes over the text.
 """
 
 from __future__ import annotations
@@ -19,66 +19,72 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words whose ids are kept in a worker; the table is emptied when it is full.
-KEPT_WORDS = 500_000
+#: Words whose ids are kept in a worker: those of the current generation and of the one before it.
+KEPT_WORDS = 300_000
 _encoders: dict[str, PackedEncoder] = {}
-#: A comma or full stop that ends a word of letters.
-_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
-#: Words that are one piece to the tokenizer: lower-case letters of ASCII and Latin-1 alone.
-_SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: A word that ends in a letter of ASCII or Latin-1 and then punctuation of ASCII.
+_STOPPED = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
+#: Words that are one piece to the tokenizer: letters of ASCII and Latin-1 alone.
+_SIMPLE = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
-class PackedEncoder:
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next one from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class PackedEncoder(dict):
+    """Packed ids by word; a word that is missing is worked out and kept for two generations at most."""
+
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept_words, self.ids = kept_words, {}
+        self.generation, self.before = max(1, kept_words // 2), {}
         spec = json.loads(self.tokenizer.to_str())
-        mark = spec["model"].get("end_of_word_suffix")
         lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
-        self.ends = None
-        if mark and lowers:
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        missing = [w for w in words if w not in self.ids]
-        if self.ends is not None:
-            texts = [w.decode() for w in missing]
-            simple = [t for t in texts if _SIMPLE(t)]
-            for i in range(0, len(simple), 2000):
-                self._learn_together(simple[i : i + 2000])
-            missing = [w for w in missing if w not in self.ids]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.ids[w] = array("I", e.ids).tobytes()
-
-    def _learn_together(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) == len(words):
-            packed, at = ids.tobytes(), 0
-            for w, stop in zip(words, stops, strict=True):
-                self.ids[w.encode()] = packed[at:stop]
-                at = stop
+        self.marked = bool(spec["model"].get("end_of_word_suffix")) and lowers
+        self.letters = byte_letters()
+        self.model = self.tokenizer.model
+
+    def _worked_out(self, word: bytes) -> bytes:
+        if self.marked:
+            if word.isalpha():
+                return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+            if stopped := _STOPPED(word):
+                return self[stopped[1]] + self[stopped[2]]
+            text = word.decode()
+            if _SIMPLE(text):
+                text = text.lower().encode().decode("latin-1").translate(self.letters)
+                return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._worked_out(word)
+        if len(self) >= self.generation:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def packed(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The packed ids of each text."""
         for text in texts:
             if b"<|" in text:
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            words = (_STOP.sub(rb" \1", text.lower()) if self.ends is not None else text).split()
-            try:
-                yield b"".join(map(self.ids.__getitem__, words))
-            except KeyError:
-                if len(self.ids) > self.kept_words:
-                    self.ids.clear()
-                self._learn(set(words))
-                yield b"".join(map(self.ids.__getitem__, words))
+            else:
+                yield b"".join(map(self.__getitem__, (text.lower() if self.marked else text).split()))
+
+    def forget(self) -> None:
+        """Give the memory of the table back; the next task begins with an empty one."""
+        self.before = {}
+        self.clear()
 
 
 def encoder(path: str) -> PackedEncoder:
