@@ -197,6 +197,30 @@ def test_near_duplicates_keep(awkward, nothing, documents):
     assert near_dedup.keep(nothing).count() == 0 and near_dedup.keep(awkward).count() > 0
 
 
+def test_near_duplicates_keep_one_row_whatever_the_numbers(documents):
+    """Groups of null, repeated and equal numbers; rows without words stay."""
+    text = lambda g, v=0: " ".join(f"g{g}w{i}" for i in range(60)) + f" v{v}"
+    rows = [(None, text(0, v), "en", "a") for v in range(4)] + [(7, text(1, v), "en", "a") for v in range(3)] + [(8, text(2), "en", x) for x in "abc"] + [(None, text(2, 1), "en", "a")]
+    rows += [(9, "", "en", "a"), (9, "", "en", "a"), (10, None, "en", "a")]
+    left = near_dedup.keep(documents(rows), size=2).collect()
+    assert sorted((r.doc_id or -1, (r.text or "")[:2]) for r in left) == [(-1, "g0"), (7, "g1"), (8, "g2"), (9, ""), (9, ""), (10, "")]
+    assert len(left) == 6
+
+
+def test_near_duplicates_in_long_lists(documents):
+    """Templates that hundreds of texts share, with chains at the threshold: lists longer than SHORT hold several components."""
+    rng, out = random.Random(3), []
+    base = [f"b{i}" for i in range(100)]
+    for g in range(12):
+        body = base[:70] + [f"g{g}x{i}" for i in range(30)]
+        for k in range(20):
+            at = rng.sample(range(100), rng.choice([0, 1, 3, 5]))
+            out.append((len(out), " ".join(f"n{g}k{k}i{i}" if i in at else w for i, w in enumerate(body)), "en", "a"))
+    df = documents(out)
+    got = near_dedup.link(df, 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(linked(df.collect(), 2))
+
+
 def test_components_of_chains(spark):
     edges = [(i + 1, i) for i in range(50)] + [(101, 100), (103, 101), (103, 102)]
     got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
