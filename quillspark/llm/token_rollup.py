@@ -16,13 +16,15 @@ op are refused by the commit; groups whose documents and tokens are both 0 are l
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillspark.llm.common import SPACE_WORD, ensure_checkpoint_dir, text_bytes
+from quillspark.llm.common import SPACE_WORD, cut, ensure_checkpoint_dir, small_batches, text_bytes
 
 GROUP = ["source", "lang", "tokenizer"]
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -47,9 +49,10 @@ def with_vocabulary_count(df: DataFrame, vocabulary: str, text: str = "text", ou
         for b in batches:
             counts = [len(x) // 4 for x in encoder(vocabulary).packed(text_bytes(b.column(b.schema.get_field_index(text))))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], names=[*b.schema.names, out])
+        encoder(vocabulary).forget()
 
-    schema = df.schema.add(out, "long")
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, LongType())]))
 
 
 def change(df: DataFrame, op: str, tokenizer: str, n_tokens: Column, old_tokens: Column | None = None, source: str = "source", lang: str = "lang") -> DataFrame:
@@ -127,32 +130,32 @@ class Rollup:
             self._fs().delete(self._path(d), True)
 
 
-def document_totals(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def document_totals(documents: DataFrame, labels: DataFrame, vocabulary: str) -> DataFrame:
     """Totals after the life of a corpus: loaded with estimates, revised, retracted where toxic.
 
     Batches: estimates (n_chars / 6) are inserted under words-1; exact counts revise them; exact byte
-    counts are inserted under bytes4-1; documents labelled toxic are deleted under both; the revision
-    is delivered once more, which changes nothing.
+    counts are inserted under bytes4-1, and the ids of a public vocabulary under its file's name; documents
+    labelled toxic are deleted under all three; the revision is delivered once more, which changes nothing.
+
+    Rows that repeat a document count each; repeated labels count once; a null doc_id has no label; a null text
+    has no tokens; an empty table gives no totals.
     """
     spark = documents.sparkSession
     rollup = Rollup(spark, f"{ensure_checkpoint_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    estimate, words, bytes4 = F.col("estimate"), F.col("words"), F.col("bytes4")
-    # counted before anything is joined, so that no text is shuffled
-    counted = documents.select("doc_id", "source", "lang", F.floor(F.coalesce("n_chars", F.lit(0)) / 6).cast("long").alias("estimate"), word_count(F.col("text")).alias("words"), byte_count(F.col("text")).alias("bytes4"))
+    own = os.path.splitext(os.path.basename(vocabulary))[0]
+    # texts are read once; what is kept of them is a few numbers a row
+    texts = documents.select("doc_id", "source", "lang", F.floor(F.coalesce("n_chars", F.lit(0)) / 6).cast("long").alias("estimate"), word_count(F.col("text")).alias("words"), byte_count(F.col("text")).alias("bytes4"), "text")
+    counted = cut(with_vocabulary_count(texts, vocabulary, out="ids").drop("text"))
     toxic = counted.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    revision = change(counted, "revise", "words-1", words, estimate)
-    rollup.commit("load", change(counted, "insert", "words-1", estimate))
+    revision = change(counted, "revise", "words-1", F.col("words"), F.col("estimate"))
+    rollup.commit("load", change(counted, "insert", "words-1", F.col("estimate")))
     rollup.commit("revision", revision)
-    rollup.commit("bytes", change(counted, "insert", "bytes4-1", bytes4))
-    rollup.commit("retraction", change(toxic, "delete", "words-1", words).unionByName(change(toxic, "delete", "bytes4-1", bytes4)))
+    exact = {"bytes4-1": F.col("bytes4"), own: F.col("ids")}
+    for name, n in exact.items():
+        rollup.commit(name, change(counted, "insert", name, n))
+    gone = change(toxic, "delete", "words-1", F.col("words"))
+    for name, n in exact.items():
+        gone = gone.unionByName(change(toxic, "delete", name, n))
+    rollup.commit("retraction", gone)
     rollup.commit("revision", revision)
     return rollup.totals()
-
-
-def oracle() -> str:
-    return rf"""
-WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}')) AS words, (octet_length(encode(coalesce(text, ''))) + 3) // 4 AS bytes FROM documents
-  WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens FROM d GROUP BY source, lang
-UNION ALL SELECT source, lang, 'bytes4-1', count(*), CAST(sum(bytes) AS BIGINT) FROM d GROUP BY source, lang
-"""

@@ -1,6 +1,7 @@
 """License scan, quality rules, URL reputation and token rollups, against rules restated in Python."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -135,8 +136,8 @@ def unique(i, n=80):
 
 
 def test_quality_frequent_lines(documents):
-    line = " ".join(f"menu{chr(97 + k)}" for k in range(20))
-    rows = [(i, unique(i, 60) + "\n" + "\n".join(f"{line} {x}" for x in "abcdefghij"), "en", "a") for i in range(30)]
+    lines = "\n".join(" ".join(f"menu{chr(97 + k)}{x}" for k in range(20)) for x in "abcdefghij")
+    rows = [(i, unique(i, 60) + "\n" + lines, "en", "a") for i in range(30)]
     rows += [(100 + i, unique(100 + i), "en", "a") for i in range(30)] + [(200, rows[0][1], "en", "b")]
     df = documents(rows)
     kept = {r.doc_id: r.kept for r in quality_rules.judge(df).collect()}
@@ -158,13 +159,13 @@ def test_quality_kept_carriers_lose_their_frequent_lines(documents):
 
 
 def test_quality_other_rows_free_no_line(spark, documents):
-    """Neither unrelated rows nor exact copies in the host raise the limit."""
+    """Neither unrelated rows nor copies in the host raise the limit."""
     menu = "Home | About us | Terms of use"
     df = documents([(i, f"{menu}\n{unique(i)}", "en", "a") for i in range(30)])
 
     def lost(more):
         rows = df.select("doc_id", "text", "source").unionByName(more) if more is not None else df
-        return {(r["__d"], r["__lost"]) for r in quality_rules.lost_words(rows, "doc_id", "text", "source").collect()}
+        return {(r["__d"], r["__lost"]) for r in quality_rules.lost_words(quality_rules.measured(rows, "doc_id", "text", "source")).where("__d < 1000").collect()}
 
     many = spark.range(1000, 17000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
     assert lost(None) == {(i, 8) for i in range(1, 30)}
@@ -172,9 +173,27 @@ def test_quality_other_rows_free_no_line(spark, documents):
     assert lost(many.withColumn("text", F.lit("one text"))) == lost(None)
 
 
-def test_quality_exact_copies_count_once(documents):
-    df = documents([(i, unique(1), "en", "a") for i in range(100)])
-    assert all(r.kept for r in quality_rules.judge(df).collect())
+def test_quality_copies_are_documents_and_repeated_rows_are_not(documents):
+    """Copies under other numbers count, so the first one keeps the lines; one row a hundred times is one document."""
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(documents([(i, unique(1), "en", "a") for i in range(100)])).collect()}
+    assert kept == {i: i == 0 for i in range(100)}
+    assert all(r.kept for r in quality_rules.judge(documents([(5, unique(1), "en", "a")] * 100)).collect())
+    assert all(r.kept for r in quality_rules.judge(documents([(i, unique(1), "en", "a") for i in range(20)])).collect()), "20 documents are within the limit"
+
+
+def test_quality_lines_without_letters_count(documents):
+    rows = [(i, unique(i) + f"\n-- {1900 + i} --", "en", "a") for i in range(30)]
+    assert {(r["__d"], r["__lost"]) for r in quality_rules.lost_words(quality_rules.measured(documents(rows), "doc_id", "text", "source")).collect()} == {(i, 3) for i in range(1, 30)}
+
+
+def test_quality_filters_cost_no_more(documents):
+    """A filter on the figures of a long text whose windows repeat works nothing out for every element again."""
+    df = documents([(1, " ".join(f"w{i % 40_000}" for i in range(60_000)), "en", "a")])
+    judged, figured = quality_rules.judge(df), quality_rules.figures(df, ["doc_id"], "text")
+    began = time.time()
+    assert judged.where("NOT base_failed AND n_repeat_words >= 0 AND kept IS NOT NULL").count() == 0
+    assert figured.where("n_repeat_words > 0 AND n_words > 0").select("n_repeat_words").first()[0] == 40_000
+    assert time.time() - began < 10
 
 
 def test_quality_empty(nothing, awkward):
@@ -256,3 +275,29 @@ def test_rollup_with_a_vocabulary(spark, awkward):
     t = Tokenizer.from_file(path)
     got = sorted((r.text or "", r.n_tokens) for r in token_rollup.with_vocabulary_count(awkward.select("text"), path).collect())
     assert got == sorted((r.text or "", len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in awkward.select("text").collect())
+
+
+def test_rollup_of_documents(spark, documents):
+    """Totals against a brute force: null and repeated numbers, repeated labels, null texts, retracted groups, empty tables."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(1, "One text, of words.", "en", "a"), (1, "One text, of words.", "en", "a"), (2, None, "en", "a"), (3, "gone altogether", None, None), (None, "no number at all", "fr", "b"), (4, "", "fr", "b"), (5, "toxic words " * 9, "fr", "b")]
+    labels = spark.createDataFrame([(3, 0, 1), (5, 1, 1), (5, 1, 1), (1, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    want = Counter()
+    for d, text, lang, source in rows:
+        if d not in (3, 5):
+            n = text or ""
+            for name, tokens in (("words-1", len(n.split())), ("bytes4-1", -(-len(n.encode()) // 4)), ("word_bpe_49k", len(t.encode(n, add_special_tokens=False).ids))):
+                want[(source, lang, name, "docs")] += 1
+                want[(source, lang, name, "tokens")] += tokens
+    df = documents(rows)
+    got = Counter()
+    for r in token_rollup.document_totals(df, labels, path).collect():
+        got[(r.source, r.lang, r.tokenizer, "docs")] += r.n_docs
+        got[(r.source, r.lang, r.tokenizer, "tokens")] += r.n_tokens
+    assert got == want
+    assert token_rollup.document_totals(df.limit(0), labels, path).count() == 0
+    assert token_rollup.document_totals(df, labels.limit(0), path).groupBy().sum("n_docs").first()[0] == 3 * len(rows)
