@@ -15,9 +15,10 @@ Nothing is collected or broadcast. Blocks are dealt by the hash of the vector's
 many rows share spreads like any other.
 
 Defined results: rows whose vec_id or vector is null or empty, or whose vector has null or non-finite
-components, take no part; rows that repeat vec_id and vector count once; a query meets the candidates of
-its own length alone, and none with its own vec_id; ties go to the smaller vec_id; an empty table gives
-no rows. Extra columns are not read.
+components, take no part; rows are what is searched, so a row that repeats another is a candidate and, as a
+query, has ranks of its own under the same query_id; a query meets the candidates of its own length alone,
+every row but itself; ties go to the smaller vec_id; quantised components and scores beyond a long are clamped
+to its ends before they are ranked; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ QUERIES_PER_BLOCK = 2048
 SLICES = 4
 
 _PHASE1 = "query_id long, qkey long, vec_id long, score long"
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 _KEYS = ["dim", "cb", "qb"]
 
 
@@ -59,6 +61,12 @@ def _products(q: np.ndarray, c: np.ndarray, slices: int) -> list[np.ndarray]:
     return [q[:, s] @ c[:, s].T for s in np.array_split(np.arange(q.shape[1]), min(slices, q.shape[1]))]
 
 
+def _total(parts: list[np.ndarray]) -> np.ndarray:
+    """The sum of the slices' scores, within a long."""
+    total = sum(parts)
+    return np.clip(total, _LEAST, _MOST) if total.dtype == object else total
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -72,22 +80,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _rows(q: pa.Table, c: pa.Table, picked: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
     ids = c["vec_id"].to_numpy()
     at = np.concatenate([np.full(len(p), i) for i, p, _ in picked]) if picked else np.zeros(0, int)
-    cols = [q["vec_id"].to_numpy()[at.astype(int)], q["qkey"].to_numpy()[at.astype(int)]]
+    cols = [q["vec_id"].to_numpy()[at.astype(int)], q["rid"].to_numpy()[at.astype(int)]]
     cols += [ids[np.concatenate([p for _, p, _ in picked])] if picked else np.zeros(0, "int64"), np.concatenate([s for *_, s in picked]) if picked else np.zeros(0)]
-    whole = [max(-(2**63), min(2**63 - 1, int(x))) for x in cols[3]] if cols[3].dtype == object else cols[3].astype("int64")
-    return pa.table([pa.array(x, pa.int64()) for x in (*cols[:3], whole)], names=["query_id", "qkey", "vec_id", "score"])
+    return pa.table([pa.array(x, pa.int64()) for x in (*cols[:3], [int(x) for x in cols[3]])], names=["query_id", "qkey", "vec_id", "score"])
 
 
 def _gather(k: int, slices: int):
     def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
         picked = []
         if len(c) and len(q):
-            ids, own = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            ids, rids, own = c["vec_id"].to_numpy(), c["rid"].to_numpy(), q["rid"].to_numpy()
             parts = _products(_matrix(q["v"]), _matrix(c["v"]), slices)
             for i in range(len(q)):
-                others = np.flatnonzero(ids != own[i])
+                others = np.flatnonzero(rids != own[i])
                 found = np.unique(np.concatenate([others[_best(p[i][others], ids[others], k)] for p in parts]))
-                picked.append((i, found, sum(p[i][found] for p in parts)))
+                picked.append((i, found, _total([p[i][found] for p in parts])))
         return _rows(q, c, picked)
 
     return run
@@ -97,12 +104,12 @@ def _resolve(k: int, slices: int):
     def run(key: tuple, c: pa.Table, q: pa.Table) -> pa.Table:
         picked = []
         if len(c) and len(q):
-            ids, own = c["vec_id"].to_numpy(), q["vec_id"].to_numpy()
+            ids, rids, own = c["vec_id"].to_numpy(), c["rid"].to_numpy(), q["rid"].to_numpy()
             cutoffs = q["cutoff"].to_pylist()
             parts = _products(_matrix(q["v"]), _matrix(c["v"]), slices)
             for i in range(len(q)):
-                mask = ids != own[i]
-                if cutoffs[i] is not None:
+                mask = rids != own[i]
+                if cutoffs[i] is not None and cutoffs[i] > _LEAST:
                     floors = [p[i].min() for p in parts]
                     share = (cutoffs[i] - sum(floors)) / len(parts) - 1e-6 * (1 + abs(cutoffs[i]))
                     enough = np.zeros(len(ids), bool)
@@ -110,7 +117,7 @@ def _resolve(k: int, slices: int):
                         enough |= p[i] - low >= share
                     mask &= enough
                 at = np.flatnonzero(mask)
-                total = sum(p[i][at] for p in parts)
+                total = _total([p[i][at] for p in parts])
                 if cutoffs[i] is not None:
                     at, total = at[total >= cutoffs[i]], total[total >= cutoffs[i]]
                 best = _best(total, ids[at], k)
@@ -122,20 +129,21 @@ def _resolve(k: int, slices: int):
 
 def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding", slices: int = SLICES, candidates_per_block: int = CANDIDATES_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best for each row whose vec_id is divisible by `every`."""
-    vectors = cut(quantised(df, vec_id, embedding).dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v")))
+    vectors = cut(quantised(df, vec_id, embedding).withColumn("dim", F.size("v")))
+    vectors = vectors.withColumn("rid", F.monotonically_increasing_id())  # of a checkpoint: the same on every read
     is_query = F.col("vec_id") % every == 0
     n = vectors.agg(F.count("*").alias("c"), F.count(F.when(is_query, 1)).alias("q")).first()
     blocks, query_blocks = max(1, -(-n.c // candidates_per_block)), max(1, -(-n.q // queries_per_block))
-    number = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
+    number = lambda count: F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    same = [F.col(x).alias(x) for x in ("vec_id", "v", "dim")]  # columns of their own, for the joins with queries
+    same = [F.col(x).alias(x) for x in ("vec_id", "rid", "v", "dim")]  # columns of their own, for the joins with queries
     c = vectors.select(*same, number(blocks).alias("cb"), all_of(query_blocks).alias("qb")).groupBy(*_KEYS)
-    queries = vectors.where(is_query).withColumn("qkey", F.xxhash64("v")).withColumn("qb", number(query_blocks))
+    queries = vectors.where(is_query).withColumn("qb", number(query_blocks))
     q = queries.withColumn("cb", all_of(blocks))
     lists = c.cogroup(q.groupBy(*_KEYS)).applyInArrow(_gather(k, slices), _PHASE1)
-    by_query = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
-    cutoffs = lists.withColumn("rn", F.row_number().over(by_query)).where(F.col("rn") == k).select("query_id", F.col("qkey").alias("k2"), F.col("score").alias("cutoff"))
-    q = queries.join(cutoffs, (F.col("vec_id") == F.col("query_id")) & (F.col("qkey") == F.col("k2")), "left").drop("query_id", "k2").withColumn("cb", all_of(blocks))
+    by_query = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
+    cutoffs = lists.withColumn("rn", F.row_number().over(by_query)).where(F.col("rn") == k).select(F.col("qkey").alias("k2"), F.col("score").alias("cutoff"))
+    q = queries.join(cutoffs, F.col("rid") == F.col("k2"), "left").drop("k2").withColumn("cb", all_of(blocks))
     found = c.cogroup(q.groupBy(*_KEYS)).applyInArrow(_resolve(k, slices), _PHASE1)
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -143,9 +151,9 @@ def search(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", e
 def oracle(k: int = 5, every: int = 50) -> str:
     """search() over `embeddings`, in SQL: every pair, ranked."""
     return f"""
-WITH ok AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH ok AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM ok q JOIN ok c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.rid AS qrid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score FROM ok q JOIN ok c ON q.vec_id % {every} = 0 AND q.rid <> c.rid AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
 """

@@ -229,14 +229,12 @@ def test_components_of_chains(spark):
 
 
 def brute_search(rows, k, every):
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            vectors[(i, tuple(math.floor(256 * x) for x in v))] = True
+    vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in vectors:
+    for at, (i, q) in enumerate(vectors):
         if i % every == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in vectors if j != i and len(c) == len(q)))
+            score = lambda c: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, c, strict=True))))  # noqa: B023, E731
+            scores = sorted((-score(c), j) for other, (j, c) in enumerate(vectors) if other != at and len(c) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -244,7 +242,7 @@ def brute_search(rows, k, every):
 def test_search_is_exact(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([rng.uniform(-1, 1), 0.5]) for _ in range(6)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 360)]
-    rows += [(1000, None), (None, [1.0] * 6), (1050, [1.0, None]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [0.5, 0.5]), (1250, []), rows[50], rows[7]]
+    rows += [(1000, None), (None, [1.0] * 6), (1050, [1.0, None]), (1100, [float("nan")] * 6), (1150, [float("inf")] * 6), (1200, [0.5, 0.5]), (1250, []), rows[50], rows[7], (100, [0.25] * 6)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, query_id int")
     for slices, c, q in ((4, 4096, 2048), (3, 50, 2), (1, 7, 100)):
         got = topk_search.search(df, slices=slices, candidates_per_block=c, queries_per_block=q).collect()
@@ -253,7 +251,8 @@ def test_search_is_exact(spark):
 
 
 def test_search_of_huge_components(spark):
-    rows = [(0, [1e13, 3.0]), (1, [1.0, 2.0]), (2, [-1e3, 1.0])]
+    """Scores beyond a long are clamped, and tie there."""
+    rows = [(0, [1e13, 3.0]), (1, [1.0, 2.0]), (2, [-1e3, 1.0]), (3, [-1e4, 1.0]), (4, [1e3, 1.0]), (5, [1e4, 1.0]), (50, [-1e13, 0.0])]
     got = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(tuple(r) for r in got) == brute_search(rows, 5, 50)
 
