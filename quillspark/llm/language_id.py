@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import small_batches
+
 BUCKETS = 1 << 14
 PER_LANG = 4000
 MAX_LANGS = 64
@@ -34,7 +36,7 @@ FULL_LENGTH = 60
 #: Codewords whose losses differ by less are ambiguous.
 AMBIGUOUS = 0.02
 UND = "und"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[:128] = 32
@@ -92,6 +94,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def train(rows: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """A model from (text, lang), or None without labelled rows."""
+    small_batches(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:

@@ -29,6 +29,20 @@ def test_stages_take_effect(spark, tmp_path):
         docs = out
 
 
+def test_stages_on_awkward_rows(spark, awkward, nothing, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names and an empty table pass every stage."""
+    for df, name in ((awkward, "awkward"), (nothing, "nothing")):
+        docs = df
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            assert i == 4 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{name}{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{i}")) if i < 2 else docs
+        # the quality rules reject all of these rows, so the later stages see the rows themselves
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            assert stage(spark, df, SF).count() >= 0
+
+
 def test_run_is_registered(spark):
     import __spark_entry__
 
