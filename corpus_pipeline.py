@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, written as Parquet in between, and returns the rows that it
 keeps with all their columns; the mix returns a row as often as it is taken, and the last stage returns
 the packed pieces.
+
+Defined results: null and empty texts fail the quality rules; an empty table passes every stage and gives no
+pieces; rows that repeat a document are judged alike, and one of them is left by the near-duplicate stage,
+as of groups without numbers; ties among equal documents go to the smallest doc_id; extra columns, also of
+names that the stages use inside, come through to the mix.
 """
 
 from __future__ import annotations
