@@ -203,7 +203,7 @@ def outlier_reason(spark, sf_dir):
     return _with_batch(_profiled(spark, sf_dir)).select("doc_id", voice.outlier_reason(F.col("p"), F.col("b")).alias("reason"))
 
 
-@query(f"{_PROFILE}, m AS (SELECT vp.*, source FROM vp JOIN c USING (doc_id)) SELECT a.source, count(*) AS pairs, round(avg({S.distance('a', 'b')}) + 1e-9, 4) AS batch_voice_variance FROM m a JOIN m b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source")
+@query(f"{_PROFILE}, m AS (SELECT vp.*, source FROM vp JOIN c USING (doc_id)) SELECT a.source, count(*) AS pairs, round(avg({S.distance('a', 'b', None)}) + 1e-9, 4) AS batch_voice_variance FROM m a JOIN m b ON a.source = b.source AND a.doc_id < b.doc_id GROUP BY a.source")
 def batch_pair_variance(spark, sf_dir):
     return voice.variance(_profiled(spark, sf_dir), "source", "doc_id", "p")
 

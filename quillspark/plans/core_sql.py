@@ -137,6 +137,6 @@ def profiles(out: str, source: str, key: str, text: str) -> str:
   FROM {out}_w LEFT JOIN {out}_m USING ({key}) LEFT JOIN {out}_d USING ({key}) LEFT JOIN {out}_pm ON owner = {key})"""
 
 
-def distance(left: str, right: str) -> str:
+def distance(left: str, right: str, digits: int | None = 4) -> str:
     terms = [f"abs({left}.{k} - {right}.{k}) / greatest(abs({left}.{k}), abs({right}.{k}), {0.2 if 'rate' in k else 2.0}) * {w}" for k, w in L.VOICE_WEIGHTS.items()]
-    return f"round({' + '.join(terms)} + 1e-9, 4)"
+    return f"round({' + '.join(terms)} + 1e-9, {digits})" if digits else f"({' + '.join(terms)})"
