@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import pattern_lexicons as L
 from quillspark.functions import pattern_text as P
+from quillspark.operators import pattern_hits as H
 from quillspark.operators import pattern_metrics as M
 from quillspark.plans import pattern_sql as S
 from quillspark.plans import seeded
@@ -120,3 +121,38 @@ def pattern_labels(spark, sf_dir):
         band(F.col("doc_id") % 100, True).alias("high_pill"),
         band(F.col("doc_id") % 100, False).alias("low_pill"),
     )
+
+
+def _with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with metrics, a mode by number and hits."""
+    # matching the catalogue costs far more than moving the texts once: deal them out evenly, whatever the files are like
+    docs = corpus(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    m = M.metrics(docs)
+    mode = F.element_at(F.array(*map(F.lit, L.DOCUMENT_MODES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return H.hits(m.withColumn("mode", mode))
+
+
+@query(f"WITH {S.catalogue_hits()} SELECT doc_id, no - 1 AS hit_no, id, excerpt, round(severity + 1e-9, 6) AS severity FROM h24")
+def pattern_hits(spark, sf_dir):
+    d = _with_hits(spark, sf_dir).select("doc_id", F.posexplode("hits").alias("hit_no", "h"))
+    ids = F.get(F.array(*[F.lit(r.id) for r in H.ALL]), F.col("h.rule"))
+    return d.select("doc_id", F.col("hit_no").cast("long").alias("hit_no"), ids.alias("id"), "h.excerpt", F.round(F.col("h.severity") + 1e-9, 6).alias("severity"))
+
+
+@query(S.audit())
+def pattern_audit(spark, sf_dir):
+    """Score, top categories and findings of a text."""
+    d = _with_hits(spark, sf_dir)
+    f = H.findings(F.col("hits"))
+    cats = F.array_join(F.transform(H.top_categories(F.col("hits")), lambda x: F.concat(x["category"], F.lit(":"), x["count"].cast("string"))), ",")
+    return d.select("doc_id", F.size("hits").cast("long").alias("hit_count"), F.round(H.humanizer_score() + 1e-9, 4).alias("humanizer_score"), cats.alias("top_categories"), F.array_join(F.transform(f, lambda x: x["priority"]), ",").alias("priorities"))
+
+
+@query(S.gate())
+def pattern_gate(spark, sf_dir):
+    """The gate over movements that follow from a document's number."""
+    n = F.col("doc_id")
+    gain = lambda a, b: (n % a - b) / 2
+    budget = F.element_at(F.array(*map(F.lit, S.BUDGETS)), (n % 3 + 1).cast("int"))
+    reasons = H.gate(gain(9, 4), gain(7, 2), gain(11, 3), (n % 10) / 10, n % 13 == 0, budget, n % 4 == 0)
+    return corpus(spark, sf_dir).select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("accepted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.functions import pattern_lexicons as L
+from quillspark.functions import pattern_rules as R
 from quillspark.functions import pattern_text as P
 from quillspark.plans import seeded
 
@@ -141,3 +142,43 @@ SELECT doc_id, array_to_string(list_transform({parts}, lambda p: upper(p[1]) ||
   CASE WHEN doc_id % 6 = 0 THEN 'Long · Dialogue' WHEN doc_id % 2 = 0 THEN 'Long' WHEN doc_id % 3 = 0 THEN 'Dialogue' ELSE '' END AS warning,
   CASE WHEN n >= 10 THEN '+' ELSE '−' END || abs(n - 10) AS gap, n || CASE WHEN n = 1 THEN ' sentence' ELSE ' sentences' END AS sentences,
   CASE WHEN doc_id % 100 >= 70 THEN 'good' WHEN doc_id % 100 >= 50 THEN 'warn' ELSE 'danger' END AS high_pill, CASE WHEN doc_id % 100 <= 35 THEN 'good' WHEN doc_id % 100 <= 55 THEN 'warn' ELSE 'danger' END AS low_pill FROM h"""
+
+
+def catalogue_hits() -> str:
+    """CTEs that end in h24(doc_id, no, rule, id, category, excerpt, severity): hits in order, the first 24 of a document."""
+    rules = [*R.RULES, *R.DERIVED]
+    needles = [(i, kind, x) for i, r in enumerate(R.RULES) for kind, xs in (("p", r.phrases), ("r", r.regexes)) for x in xs]
+    needle = ",".join(f"({o},{i},'{kind}',{quote(x if kind == 'p' else x.format(B=chr(92) + 'b', S=_SPACE))})" for o, (i, kind, x) in enumerate(needles))
+    weights = ",".join(f"({i},{quote(r.id)},{quote(r.category)},'{m}',{R.weight(r, m)!r}::DOUBLE)" for i, r in enumerate(rules) for m in L.DOCUMENT_MODES)
+    return f"""{all_metrics()},
+needle(ord, rule, kind, x) AS (VALUES {needle}),
+weight(rule, id, category, mode, severity) AS (VALUES {weights}),
+md AS (SELECT *, {"[" + ", ".join(map(quote, L.DOCUMENT_MODES)) + "]"}[doc_id % 5 + 1] AS mode FROM m),
+start AS (SELECT doc_id, s FROM sent WHERE i = 0),
+cand AS (SELECT doc_id, ord, rule, CASE kind WHEN 'p' THEN x ELSE regexp_extract(text, x) END AS needle FROM m, needle WHERE CASE kind WHEN 'p' THEN contains(low, x) ELSE regexp_matches(text, x) END),
+inside AS (SELECT c.doc_id, c.ord, min(s.i) AS i FROM cand c JOIN sent s ON s.doc_id = c.doc_id AND contains(lower(s.s), {strip('lower(c.needle)')}) GROUP BY c.doc_id, c.ord),
+ex AS (SELECT c.doc_id, c.ord, c.rule, coalesce(s.s, left(coalesce(st.s, c.needle), {R.EXCERPT})) AS excerpt FROM cand c LEFT JOIN inside USING (doc_id, ord) LEFT JOIN sent s ON s.doc_id = c.doc_id AND s.i = inside.i LEFT JOIN start st ON st.doc_id = c.doc_id),
+dv AS (SELECT doc_id, 1000 AS ord, {len(R.RULES)} AS rule FROM m WHERE sentence_count >= 5 AND sentence_spread < 4.2
+  UNION ALL SELECT doc_id, 1001, {len(R.RULES) + 1} FROM m WHERE word_count > 90 AND abstract_density > concrete_density * 1.35
+  UNION ALL SELECT doc_id, 1002, {len(R.RULES) + 2} FROM m WHERE word_count > 120 AND dialogue_density = 0 AND question_rate < 0.02 AND concrete_density < 0.018),
+al AS (SELECT doc_id, rule, excerpt, min(ord) AS ord FROM ex GROUP BY doc_id, rule, excerpt UNION ALL SELECT dv.doc_id, rule, left(coalesce(s, {strip('text')}), {R.EXCERPT}), ord FROM dv JOIN m USING (doc_id) LEFT JOIN start USING (doc_id)),
+h24 AS (SELECT * FROM (SELECT al.doc_id, al.rule, id, category, excerpt, severity, row_number() OVER (PARTITION BY al.doc_id ORDER BY ord) AS no FROM al JOIN md USING (doc_id) JOIN weight w ON w.rule = al.rule AND w.mode = md.mode WHERE severity > 0) WHERE no <= {R.MOST_HITS})"""
+
+
+def audit() -> str:
+    cut = lambda x, top: f"greatest(0.0, least({top}.0, {x}))"
+    return f"""WITH {catalogue_hits()},
+per AS (SELECT doc_id, count(*) AS n, sum(severity) * 4.8 AS cost, count(*) FILTER (category = 'communication') * 4.5 AS talk FROM h24 GROUP BY doc_id),
+cat AS (SELECT doc_id, category, count(*) AS k, min(no) AS f FROM h24 GROUP BY doc_id, category QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(no)) <= {R.TOP_CATEGORIES}),
+cats AS (SELECT doc_id, string_agg(category || ':' || k, ',' ORDER BY k DESC, f) AS top_categories FROM cat GROUP BY doc_id),
+fnd AS (SELECT doc_id, no, CASE WHEN severity >= 0.8 THEN 'high' WHEN severity >= 0.58 THEN 'medium' ELSE 'low' END AS p FROM h24 WHERE severity >= 0.72 OR category IN ('communication', 'hedging', 'content', 'soul') OR no <= 4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY no) <= {R.MOST_FINDINGS}),
+fs AS (SELECT doc_id, string_agg(p, ',' ORDER BY no) AS priorities FROM fnd GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS hit_count, round({cut(f"100 - (coalesce(cost, 0) + coalesce(talk, 0) + CASE WHEN sentence_count >= 5 THEN {cut('(4.5 - sentence_spread) * 5.8', 18)} ELSE 0 END + {cut('(abstract_density - concrete_density) * 95', 16)} + CASE WHEN word_count > 120 AND dialogue_density = 0 THEN {cut('(0.024 - concrete_density) * 320', 12)} ELSE 0 END + {cut('(modifier_density - 0.018) * 260', 12)})", 100)}::DOUBLE + 1e-9, 4) AS humanizer_score,
+  coalesce(top_categories, '') AS top_categories, coalesce(priorities, '') AS priorities FROM m LEFT JOIN per USING (doc_id) LEFT JOIN cats USING (doc_id) LEFT JOIN fs USING (doc_id)"""
+
+
+def gate() -> str:
+    return f"""WITH {BASE}, g AS (SELECT doc_id, (doc_id % 9 - 4) / 2 AS q, (doc_id % 7 - 2) / 2 AS r, (doc_id % 11 - 3) / 2 AS h, (doc_id % 10) / 10 AS w, doc_id % 13 = 0 AS same, {"[" + ", ".join(map(quote, BUDGETS)) + "]"}[doc_id % 3 + 1] AS budget, doc_id % 4 = 0 AS high FROM c),
+a AS (SELECT doc_id, CASE WHEN same THEN '' ELSE concat_ws(',', CASE WHEN q < -1.5 THEN 'quality' END, CASE WHEN r < -0.5 THEN 'risk' END, CASE WHEN h < -0.5 THEN 'humanizer' END,
+  CASE WHEN w < CASE budget WHEN 'aggressive' THEN 0.35 WHEN 'medium' THEN 0.42 ELSE 0.5 END AND q < 8 AND h < 8 THEN 'cut too much' END, CASE WHEN q < 0.5 AND r < 0.5 AND h < 0.5 THEN 'no gain' END, CASE WHEN high AND h < 2 THEN 'residue' END) END AS reasons FROM g)
+SELECT doc_id, reasons, reasons = '' AS accepted FROM a"""
