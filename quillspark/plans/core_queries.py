@@ -1,4 +1,8 @@
-"""Queries of the core engine over the seeded corpus, with their SQL."""
+"""Queries of the core engine over the seeded corpus, with their SQL.
+
+Arrays that are worked out are exploded by the outer variants, and what is null is left out after that: of the
+others Spark infers a filter on the array's size, for which it works the array out once more.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +48,7 @@ def split_paragraphs(spark, sf_dir):
 
 @query(f"WITH {S.BASE},{S.sentences('sent', 'c', 'doc_id', 'text')} SELECT doc_id, i AS sentence_no, s AS sentence FROM sent")
 def split_sentences_core(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
 
 
 @query(f"WITH {S.BASE} SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS tokens FROM c")
@@ -67,7 +71,7 @@ def contraction_count(spark, sf_dir):
 def phrase_hits(spark, sf_dir):
     d = corpus(spark, sf_dir)
     hits = F.array(*[F.struct(F.lit(p).alias("phrase"), T.count(F.col("text"), T.words_pattern([p])).alias("hits")) for p in L.TRANSITIONS])
-    return d.select("doc_id", F.explode(F.filter(hits, lambda h: h["hits"] > 0)).alias("h")).select("doc_id", "h.phrase", "h.hits")
+    return d.select("doc_id", F.explode_outer(F.filter(hits, lambda h: h["hits"] > 0)).alias("h")).where("h IS NOT NULL").select("doc_id", "h.phrase", "h.hits")
 
 
 @query(f"WITH {S.BASE} SELECT doc_id, {S.counted(S.ASCII.format('text'), S.PASSIVE)} AS passive_hits FROM c")
@@ -122,13 +126,13 @@ def sentence_annotations(spark, sf_dir):
     d = signals.annotate(corpus(spark, sf_dir))
     d = d.select("doc_id", F.posexplode(F.arrays_zip("__s", "__st", "__mono", "__same")).alias("sentence", "z")).select("doc_id", "sentence", "z.*").withColumnRenamed("__s", "original")
     rows = [F.when(hit, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(n).alias("rule"))) for n, ((kind, severity, _), hit) in enumerate(zip(signals.RULES, signals.found(F.col("original"), F.col("__st"), F.col("__mono"), F.col("__same")), strict=True))]
-    d = d.select("doc_id", "sentence", "original", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("a"))
+    d = d.select("doc_id", "sentence", "original", F.explode_outer(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("a")).where("a IS NOT NULL")
     return d.select("doc_id", "a.type", "a.severity", "original", "sentence", "a.rule")
 
 
 @query(_FACTS + "," + S.annotations("ann", "f", "doc_id") + " SELECT doc_id, type, severity, original, sentence, rule FROM ann")
 def annotation_dedupe(spark, sf_dir):
-    d = signals.annotate(corpus(spark, sf_dir)).select("doc_id", F.explode("__ann").alias("a"))
+    d = signals.annotate(corpus(spark, sf_dir)).select("doc_id", F.explode_outer("__ann").alias("a")).where("a IS NOT NULL")
     return d.select("doc_id", "a.type", "a.severity", "a.original", "a.sentence", "a.rule")
 
 
@@ -251,7 +255,7 @@ def mode_bias(spark, sf_dir):
 
 @query()
 def cleanup_sentence(spark, sf_dir):
-    d = corpus(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    d = corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
     return d.select("doc_id", "sentence_no", rewrite.cleanup_sentence(F.col("sentence")).alias("cleaned"))
 
 
@@ -274,7 +278,7 @@ g AS (SELECT *, sum(CASE WHEN prose AND coalesce(lag_prose, false) THEN 0 ELSE 1
 SELECT doc_id, CAST(block - 1 AS INTEGER) AS block, any_value(prose) AS prose, string_agg(line, chr(10) ORDER BY line_no) AS text FROM g GROUP BY doc_id, block"""
 )
 def fence_blocks(spark, sf_dir):
-    d = corpus(spark, sf_dir).select("doc_id", F.posexplode(rewrite.blocks(F.col("text"))).alias("block", "b"))
+    d = corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(rewrite.blocks(F.col("text"))).alias("block", "b")).where("block IS NOT NULL")
     return d.select("doc_id", "block", "b.prose", "b.text")
 
 

@@ -41,7 +41,7 @@ def pattern_paragraphs(spark, sf_dir):
 
 @query(f"WITH {S.SENTENCES} SELECT doc_id, i AS sentence_no, s AS sentence FROM sent")
 def pattern_sentences(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", F.posexplode(P.sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(P.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
 
 
 @query(f"WITH {S.BASE} SELECT doc_id, {S.words('text')} AS words FROM c")
@@ -134,7 +134,7 @@ def _with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S.catalogue_hits()} SELECT doc_id, no - 1 AS hit_no, id, excerpt, round(severity + 1e-9, 6) AS severity FROM h24")
 def pattern_hits(spark, sf_dir):
-    d = _with_hits(spark, sf_dir).select("doc_id", F.posexplode("hits").alias("hit_no", "h"))
+    d = _with_hits(spark, sf_dir).select("doc_id", F.posexplode_outer("hits").alias("hit_no", "h")).where("hit_no IS NOT NULL")  # of posexplode Spark would infer a filter that works hits out again
     ids = F.get(F.array(*[F.lit(r.id) for r in H.ALL]), F.col("h.rule"))
     return d.select("doc_id", F.col("hit_no").cast("long").alias("hit_no"), ids.alias("id"), "h.excerpt", F.round(F.col("h.severity") + 1e-9, 6).alias("severity"))
 
