@@ -1,15 +1,16 @@
 """A hidden Markov language model, trained by Baum-Welch over the whole training part of a corpus.
 
-Latent states emit token classes, and a class emits its tokens in proportion to their counts plus one. The
-most frequent tokens are classes of their own; the others are classed by their last bytes, so the
-emission table has a fixed size however large the vocabulary grows, and every token has a probability.
-
-1. Each partition counts its training tokens; the counts are added up by token. All tokens are counted.
-2. The most frequent tokens, `head` at most by a cutoff on counts, become a broadcast table.
-3. Each round of Baum-Welch reads all training texts: partitions add up expected counts by the
-   forward-backward recursion over stretches of `STRETCH` tokens and send a table of fixed size.
+Latent states emit classes of tokens. Each token of the head, the most frequent tokens up to `head`, is a
+class of its own, with an expected count in each state; the others are classed by their last bytes, and a
+class emits its tokens in proportion to their counts plus one. So every token has a probability.
+
+1. Each partition counts its tokens; the counts are added up by token. All tokens are counted.
+2. The tokens above a cutoff on counts, `head` at most, become a broadcast table, the head.
+3. Each round of Baum-Welch reads all training texts: partitions add up expected counts by the exact
+   forward-backward recursion over whole texts, and these are added up by class. Rounds end when the
+   likelihood of a token gains less than `GAIN`, after `rounds` at most.
 4. Scoring runs the scaled forward recursion over each whole text, many texts side by side. Tokens of
-   the head are resolved there; the rest, which the head keeps free of hot keys, are joined with their counts.
+   the head are resolved there; the rest, in which no token is frequent, are joined with their counts.
 
 Defined results: a null or empty text is its end token alone; a null doc_id counts as held out; without
 training rows every token has probability 1, so scores are those of the states alone; repeated rows get
@@ -30,18 +31,21 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut, text_bytes
 
 STATES = 8
-ROUNDS = 3
+ROUNDS = 4
+#: Least gain of a round, in log10 likelihood of a token.
+GAIN = 0.002
 #: How likely a state is to last at the start of training.
 STAY = 0.9
+#: Occurrences by the states' shares that a class has beside its own, so that rare tokens lean on no state.
+LEAN = 2.0
 HEAD = 150_000
-OWN_CLASSES = 512
-TAIL_CLASSES = 256
-STRETCH = 128
+TAIL_CLASSES = 4096
 FOLDS, FOLD = 7, 2
 #: The end of a text; white space, so that no word is like it.
 END = b"\n"
 _FLUSH = 200_000
-_LANES = 4096
+#: Tokens of texts that run side by side, and steps whose states are held at once.
+_GROUP, _SEGMENT = 1 << 18, 4096
 
 
 def tail_class(token: bytes) -> int:
@@ -51,38 +55,44 @@ def tail_class(token: bytes) -> int:
 class _Classes(dict):
     """Class of a token: its own if it has one, else by its last bytes."""
 
+    def __init__(self, own: dict[bytes, int]):
+        super().__init__(own)
+        self.own = len(own)
+
     def __missing__(self, token: bytes) -> int:
-        return OWN_CLASSES + tail_class(token)
+        return self.own + tail_class(token)
 
 
-def token_counts(training: DataFrame) -> DataFrame:
-    """token (binary), n, cls (its class among the tail), over all training texts with their ends."""
+def token_counts(df: DataFrame) -> DataFrame:
+    """token (binary), n, m, cls (its class among the tail): n over the training texts of df (held_out, text), m over all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = Counter(), Counter()
 
-        def flush() -> pa.RecordBatch:
-            tokens = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(list(map(tail_class, tokens)), pa.int32())], names=["token", "n", "cls"])
-            counts.clear()
-            return out
+        def flush(of: Counter, learnt: bool) -> pa.RecordBatch:
+            tokens, m = list(of), pa.array(list(of.values()), pa.int64())
+            n = m if learnt else pa.array(np.zeros(len(tokens), np.int64))
+            of.clear()
+            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), n, m, pa.array(list(map(tail_class, tokens)), pa.int32())], names=["token", "n", "m", "cls"])
 
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                counts.update(text.lower().split())
-                counts[END] += 1
-                if len(counts) > _FLUSH:
-                    yield flush()
-        if counts:
-            yield flush()
+            for held_out, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                of = counts[held_out]
+                of.update(text.lower().split())
+                of[END] += 1
+                if len(of) > _FLUSH:
+                    yield flush(of, not held_out)
+        for of, learnt in zip(counts, (True, False), strict=True):
+            if of:
+                yield flush(of, learnt)
 
-    partial = training.mapInArrow(run, "token binary, n long, cls int")
-    return partial.groupBy("token", "cls").agg(F.sum("n").alias("n"))
+    partial = df.select("held_out", "text").mapInArrow(run, "token binary, n long, m long, cls int")
+    return partial.groupBy("token", "cls").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The end, and the tokens above a cutoff on counts, `most` at most, the most frequent first."""
-    step = F.floor(F.log2("n") * 16).cast("int")
+    """The end, and the tokens above a cutoff on their counts in all texts, `most` at most, with their counts in training."""
+    step = F.floor(F.log2("m") * 16).cast("int")
     sizes = counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect()
     total, cutoff = 0, None
     for r in sizes:
@@ -97,25 +107,24 @@ def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 class Vocabulary:
-    """The head's tokens with their counts, and for every class the logarithm of its size."""
+    """Classes of the head's tokens, the tokens' counts, and for every class its weight and the logarithm of its size.
+
+    `absent` are the tokens frequent in held-out texts that training doesn't have: the model takes them for
+    tokens of the tail, and no join looks for them.
+    """
 
     def __init__(self, head: list[tuple[bytes, int]], tail: dict[int, tuple[int, int]]):
         # the end always has a class
-        own = [t for t, _ in head if t != END][: OWN_CLASSES - 1]
-        self.cls = {END: 0} | {t: i + 1 for i, t in enumerate(own)}
-        self.n = dict(head)
-        size = np.zeros(OWN_CLASSES + TAIL_CLASSES)
-        for t, i in self.cls.items():
-            size[i] = self.n.get(t, 0) + 1
+        own = [(END, dict(head).get(END, 0))] + [(t, n) for t, n in head if n and t != END]
+        self.absent = frozenset(t for t, n in head if not n)
+        self.cls = {t: i for i, (t, _) in enumerate(own)}
+        self.n = np.array([n for _, n in own], float)
         words = np.array([tail.get(c, (0, 0)) for c in range(TAIL_CLASSES)], float)
-        for t in own:
-            words[tail_class(t)] -= (self.n[t], 1)
-        if END in self.n:
-            words[tail_class(END)] -= (self.n[END], 1)
-        size[OWN_CLASSES:] = words.sum(1) + 1
-        self.log_size = np.log10(np.maximum(size, 1))
+        for t, n in own:
+            words[tail_class(t)] -= (n, n > 0)
+        self.log_size = np.log10(np.concatenate([self.n + 1, np.maximum(words.sum(1) + 1, 1)]))
         # how often a class occurs in training
-        self.weight = np.concatenate([[self.n.get(END, 0)], [self.n[t] for t in own], np.zeros(OWN_CLASSES - 1 - len(own)), words[:, 0]])
+        self.weight = np.concatenate([self.n, words[:, 0]])
 
 
 def initial(weight: np.ndarray, states: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,15 +136,17 @@ def initial(weight: np.ndarray, states: int, seed: int = 11) -> tuple[np.ndarray
     return np.full(states, 1 / states), a, b / b.sum(1, keepdims=True)
 
 
-def _batch_classes(column, classes: _Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens of a column of texts, and where each text starts (with the end at last)."""
-    parts, starts = [], [0]
+def _batch_classes(column, classes: _Classes) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Classes of all tokens of a column of texts, where each text starts (with the end at last), its tokens beyond the head."""
+    parts, starts, rest = [], [0], []
     for text in text_bytes(column):
         words = text.lower().split()
         words.append(END)
-        parts.append(np.fromiter(map(classes.__getitem__, words), np.int16, len(words)))
+        found = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
+        parts.append(found)
         starts.append(starts[-1] + len(words))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int16)), np.array(starts)
+        rest.append([words[i] for i in np.flatnonzero(found >= classes.own)])
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.array(starts), rest
 
 
 def forward(classes: np.ndarray, starts: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,77 +171,114 @@ def forward(classes: np.ndarray, starts: np.ndarray, pi: np.ndarray, a: np.ndarr
     return back
 
 
-def expected(classes: np.ndarray, starts: np.ndarray, is_start: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Expected counts by forward-backward: start (K), transitions (K*K), emissions (K*C), one after the other."""
+def expected(classes: np.ndarray, starts: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray, which: np.ndarray | None = None, segment: int = _SEGMENT, emissions: np.ndarray | None = None):
+    """Expected counts of whole sequences by forward-backward: start (K), transitions (K, K), emissions (K, C); log10 likelihood.
+
+    Sequences (those of `which`, if given) run side by side. The states of `segment` steps are held at once:
+    where sequences are longer, those at each segment's beginning are kept and the others worked out again.
+    The emissions are added to those given.
+    """
     k, c = b.shape
-    length = np.diff(starts)
+    emissions = np.zeros((k, c)) if emissions is None else emissions
+    length = np.diff(starts) if which is None else np.diff(starts)[which]
     order = np.argsort(-length, kind="stable")
-    first, length, is_start = starts[:-1][order], length[order], is_start[order]
+    first, length = (starts[:-1] if which is None else starts[which])[order], length[order]
     active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-    emit, alphas, scales = np.ascontiguousarray(b.T), [], []
-    alpha = np.broadcast_to(pi, (len(order), k))
-    for t in range(length[0]):
-        n = active[t]
-        alpha = (alpha[:n] @ a if t else alpha[:n]) * emit[classes[first[:n] + t]]
-        scale = alpha.sum(1, keepdims=True)
-        alpha = alpha / scale
-        alphas.append(alpha)
-        scales.append(scale)
-    trans, gammas, seen = np.zeros((k, k)), [], []
+    emit = np.ascontiguousarray(b.T)
+
+    def ahead(alpha: np.ndarray, lo: int, hi: int) -> tuple[list, list]:
+        alphas, scales = [], []
+        for t in range(lo, hi):
+            n = active[t]
+            alpha = (alpha[:n] @ a if t else alpha[:n]) * emit[classes[first[:n] + t]]
+            scale = alpha.sum(1, keepdims=True)
+            alpha = alpha / scale
+            alphas.append(alpha)
+            scales.append(scale)
+        return alphas, scales
+
+    borders = range(0, int(length[0]), segment)
+    entries = [np.broadcast_to(pi, (len(order), k))]
+    for lo in borders[:-1]:
+        entries.append(ahead(entries[-1], lo, lo + segment)[0][-1])
+    trans, gammas, seen, held, likelihood = np.zeros((k, k)), [], [], 0, 0.0
+
+    def add() -> None:
+        at, gamma = np.concatenate(seen), np.concatenate(gammas)
+        found, at = np.unique(at, return_inverse=True)
+        for i in range(k):
+            emissions[i, found] += np.bincount(at, weights=gamma[:, i])
+        seen.clear()
+        gammas.clear()
+
     beta = np.ones((active[-1], k))
-    for t in range(length[0] - 1, -1, -1):
-        n = active[t]
-        if t + 1 < length[0] and n > active[t + 1]:
-            beta = np.concatenate([beta, np.ones((n - active[t + 1], k))])
-        at = classes[first[:n] + t]
-        gammas.append(alphas[t] * beta)
-        seen.append(at)
-        if t:
-            ahead = emit[at] * beta / scales[t]
-            trans += alphas[t - 1][:n].T @ ahead
-            beta = ahead @ a.T
-    gamma, seen = np.concatenate(gammas), np.concatenate(seen)
-    emissions = np.stack([np.bincount(seen, weights=gamma[:, i], minlength=c) for i in range(k)])
-    begin = gammas[-1][is_start].sum(0)
-    return np.concatenate([begin, (trans * a).ravel(), emissions.ravel()])
-
-
-def _stretches(classes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts of stretches of at most STRETCH tokens and whether each begins a text, some thousands at a time."""
-    per = -(-np.diff(starts) // STRETCH)
-    which = np.repeat(np.arange(len(per)), per)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
-    at = starts[which] + nth * STRETCH
-    bounds = np.concatenate([at, [starts[-1]]])
-    for i in range(0, len(at), _LANES):
-        j = min(i + _LANES, len(at))
-        yield bounds[i : j + 1], nth[i:j] == 0
-
-
-def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int) -> tuple:
-    """Start, transition and emission probabilities after so many rounds over all training texts."""
+    for lo, entry in zip(reversed(borders), reversed(entries), strict=True):
+        alphas, scales = ahead(entry, lo, min(lo + segment, int(length[0])))
+        likelihood += float(np.log10(np.concatenate(scales)).sum())
+        for t in range(lo + len(alphas) - 1, lo - 1, -1):
+            n = active[t]
+            if n > len(beta):
+                beta = np.concatenate([beta, np.ones((n - len(beta), k))])
+            at = classes[first[:n] + t]
+            gammas.append(alphas[t - lo] * beta)
+            seen.append(at)
+            held += n
+            if t:
+                back = emit[at] * beta / scales[t - lo]
+                trans += (alphas[t - lo - 1] if t > lo else entry)[:n].T @ back
+                beta = back @ a.T
+            else:
+                begin = gammas[-1].sum(0)
+            if held > _GROUP or not t:
+                add()
+                held = 0
+    return begin, trans * a, emissions, likelihood
+
+
+def _groups(starts: np.ndarray) -> list[np.ndarray]:
+    """Texts, the longest first, in groups of about _GROUP tokens, so that long texts run beside each other."""
+    length = np.diff(starts)
+    order = np.argsort(-length, kind="stable")
+    group = (np.cumsum(length[order]) - length[order]) // _GROUP
+    return np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []
+
+
+def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int, gain: float = GAIN) -> tuple:
+    """Start, transition and emission probabilities after `rounds` over all training texts, fewer if the likelihood no longer gains."""
     spark = training.sparkSession
     k, c = params[2].shape
+    weight, before = vocabulary.value.weight, -np.inf
+    names = [f"e{j}" for j in range(k)]
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             classes, (pi, a, b) = _Classes(vocabulary.value.cls), shared.value
-            total = np.zeros(k + k * k + k * c)
+            # rows by class; before them the start, the likelihood and the transitions from each state
+            other, emissions = np.zeros((2 + k, k)), np.zeros((k, c))
             for batch in batches:
-                seq, starts = _batch_classes(batch.column(0), classes)
-                if len(starts) > 1:
-                    for bounds, begins in _stretches(seq, starts):
-                        total += expected(seq, bounds, begins, pi, a, b)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(total[at])], names=["i", "x"])
-
-        total = np.zeros(k + k * k + k * c)
-        for r in training.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            total[r.i] = r.x
-        pi, a, b = total[:k] + 0.1, total[k : k + k * k].reshape(k, k) + 0.1, total[k + k * k :].reshape(k, c) + 0.1
+                seq, starts, _ = _batch_classes(batch.column(0), classes)
+                for which in _groups(starts):
+                    begin, trans, _, likelihood = expected(seq, starts, pi, a, b, which, emissions=emissions)
+                    other[0] += begin
+                    other[1, 0] += likelihood
+                    other[2:] += trans
+            at = np.flatnonzero(emissions.any(0))
+            i = np.concatenate([np.arange(-2 - k, 0), at]).astype("int32")
+            x = np.concatenate([other, emissions[:, at].T])
+            yield pa.RecordBatch.from_arrays([pa.array(i), *[pa.array(x[:, j].astype("float32")) for j in range(k)]], names=["i", *names])
+
+        sums = training.mapInArrow(run, "i int, " + ", ".join(f"{e} float" for e in names)).groupBy("i").agg(*[F.sum(e).alias(e) for e in names]).toArrow()
+        x = np.zeros((2 + k + c, k))
+        x[sums["i"].to_numpy() + 2 + k] = np.column_stack([sums[e].to_numpy() for e in names])
+        pi, a, b = x[0] + 0.1, x[2 : 2 + k] + 0.1, x[2 + k :].T
+        # of a class's weight plus one, each state emits its part
+        b = (weight + 1) * (b + LEAN * b.sum(1, keepdims=True) / b.sum()) / (weight + LEAN)
         params = pi / pi.sum(), a / a.sum(1, keepdims=True), b / b.sum(1, keepdims=True)
-        shared.unpersist()
+        shared.destroy()
+        if x[1, 0] - before < gain * weight.sum():
+            break
+        before = x[1, 0]
     return params
 
 
@@ -240,28 +288,20 @@ def _scored(df: DataFrame, vocabulary, params) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, (pi, a, b) = vocabulary.value, params.value
         classes = _Classes(v.cls)
-        logs = {t: float(np.log10(n + 1)) for t, n in v.n.items()}
+        logs = np.concatenate([np.log10(v.n + 1), np.zeros(TAIL_CLASSES)])
+        knows = np.concatenate([v.n > 0, np.zeros(TAIL_CLASSES, bool)]).astype("int64")
         for batch in batches:
-            seq, starts = _batch_classes(batch.column(2), classes)
-            states = forward(seq, starts, pi, a, b) - np.add.reduceat(v.log_size[seq], starts[:-1]) if len(starts) > 1 else np.zeros(0)
-            sums, known, rest = [], [], []
-            for text in text_bytes(batch.column(2)):
-                words = text.lower().split()
-                words.append(END)
-                found = list(map(logs.get, words))
-                if None in found:
-                    rest.append([w for w, x in zip(words, found, strict=True) if x is None])
-                    found = [x for x in found if x is not None]
-                else:
-                    rest.append([])
-                sums.append(sum(found))
-                known.append(len(found))
+            seq, starts, rest = _batch_classes(batch.column(2), classes)
+            n = np.diff(starts)
+            states = forward(seq, starts, pi, a, b) - np.add.reduceat(v.log_size[seq], starts[:-1]) if len(n) else np.zeros(0)
+            sums, known = (np.add.reduceat(x[seq], starts[:-1]) if len(n) else x[:0] for x in (logs, knows))
+            counted = [list(Counter(w for w in words if w not in v.absent).items()) for words in rest]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(states, pa.float64()), pa.array(rest, pa.list_(pa.binary()))],
+                [batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(sums), pa.array(states), pa.array(counted, pa.map_(pa.binary(), pa.int64()))],
                 names=["doc_id", "held_out", "n_tokens", "known", "sum_head", "states", "rest"],
             )
 
-    return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sum_head double, states double, rest array<binary>")
+    return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sum_head double, states double, rest map<binary, bigint>")
 
 
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
@@ -269,18 +309,19 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int
     spark = df.sparkSession
     fold = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == FOLD, F.lit(True))
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text).alias("text"))
-    training = d.where("NOT held_out").select("text")
-    counts = cut(token_counts(training))
-    by_class = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    counts = cut(token_counts(d))
+    learnt = F.col("n") > 0
+    by_class = counts.where(learnt).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in by_class), sum(r.v for r in by_class)
     v = Vocabulary(_head(counts, head), {r.cls: (r.n, r.v) for r in by_class})
     vocabulary = spark.sparkContext.broadcast(v)
-    params = baum_welch(training, vocabulary, initial(v.weight, states), rounds if total else 0)
+    params = baum_welch(d.where("NOT held_out").select("text"), vocabulary, initial(v.weight, states), rounds if total else 0)
     rows = cut(_scored(d, vocabulary, spark.sparkContext.broadcast(params)))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a checkpoint: the same on every read
-    rare = rows.where(F.size("rest") > 0).select("rid", F.explode("rest").alias("token"))
-    # what isn't in the head is no hot key
-    rare = rare.join(counts.select("token", "n"), "token").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1)).alias("sum_rest"), F.count("*").alias("known_rest"))
+    rare = rows.where(F.size("rest") > 0).select("rid", F.explode("rest").alias("token", "times"))
+    # one row a text and token, and what is frequent in all texts is in the head: no hot key
+    log = F.col("times") * F.log10(F.col("n") + 1)
+    rare = rare.join(counts.where(learnt).select("token", "n"), "token").groupBy("rid").agg(F.sum(log).alias("sum_rest"), F.sum("times").alias("known_rest"))
     out = rows.drop("rest").join(rare, "rid", "left")
     sums = F.col("sum_head") + F.coalesce("sum_rest", F.lit(0.0))
     return out.select(

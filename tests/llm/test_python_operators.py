@@ -133,12 +133,38 @@ def test_expected_counts_add_up_and_training_climbs():
     params = hmm_lm.initial(np.ones(6), 3)
     before = None
     for _ in range(5):
-        x = hmm_lm.expected(seq, starts, np.ones(4, bool), *params)
-        assert x[:3].sum() == pytest.approx(4) and x[3:12].sum() == pytest.approx(496) and x[12:].sum() == pytest.approx(500)
+        begin, trans, emissions, likelihood = hmm_lm.expected(seq, starts, *params)
+        assert begin.sum() == pytest.approx(4) and trans.sum() == pytest.approx(496) and emissions.sum() == pytest.approx(500)
         now = hmm_lm.forward(seq, starts, *params).sum()
+        assert likelihood == pytest.approx(now)
         assert before is None or now >= before - 1e-9
         before = now
-        params = x[:3] / x[:3].sum(), x[3:12].reshape(3, 3) / x[3:12].reshape(3, 3).sum(1, keepdims=True), x[12:].reshape(3, 6) / x[12:].reshape(3, 6).sum(1, keepdims=True)
+        params = begin / begin.sum(), trans / trans.sum(1, keepdims=True), emissions / emissions.sum(1, keepdims=True)
+
+
+def test_expected_counts_are_those_of_all_paths():
+    rng = np.random.default_rng(8)
+    pi, a, b = (x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 5))))
+    seqs = [rng.integers(0, 5, n) for n in (1, 6, 4, 6)]
+    begin, trans, emissions = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
+    import itertools
+
+    for s in seqs:
+        paths = {p: pi[p[0]] * b[p[0], s[0]] * np.prod([a[p[i - 1], p[i]] * b[p[i], s[i]] for i in range(1, len(s))]) for p in itertools.product(range(3), repeat=len(s))}
+        for p, x in paths.items():
+            x /= sum(paths.values())
+            begin[p[0]] += x
+            for i, at in enumerate(p):
+                emissions[at, s[i]] += x
+                if i:
+                    trans[p[i - 1], at] += x
+    starts = np.cumsum([0] + [len(s) for s in seqs])
+    for segment in (1, 2, 5, 6, 100):
+        got = hmm_lm.expected(np.concatenate(seqs), starts, pi, a, b, segment=segment)
+        for x, want in zip(got, (begin, trans, emissions), strict=False):
+            assert x == pytest.approx(want)
+    parts = [hmm_lm.expected(np.concatenate(seqs), starts, pi, a, b, np.array(w)) for w in ([1, 0], [3, 2])]
+    assert parts[0][2] + parts[1][2] == pytest.approx(emissions) and parts[0][1] + parts[1][1] == pytest.approx(trans)
 
 
 def test_hmm_empty(nothing, documents):
