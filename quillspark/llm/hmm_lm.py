@@ -44,8 +44,8 @@ FOLDS, FOLD = 7, 2
 #: The end of a text; white space, so that no word is like it.
 END = b"\n"
 _FLUSH = 200_000
-#: Tokens of texts that run side by side, and steps whose states are held at once.
-_GROUP, _SEGMENT = 1 << 18, 4096
+#: Tokens of texts that run side by side, steps whose states are held at once, tokens whose emissions are added up at once.
+_GROUP, _SEGMENT, _HELD = 1 << 19, 4096, 1 << 17
 
 
 def tail_class(token: bytes) -> int:
@@ -162,9 +162,9 @@ def forward(classes: np.ndarray, starts: np.ndarray, pi: np.ndarray, a: np.ndarr
     alpha = np.broadcast_to(pi, (len(order), len(pi)))
     for t in range(length[0]):
         n = active[t]
-        alpha = (alpha[:n] @ a if t else alpha[:n]) * emit[classes[first[:n] + t]]
+        alpha = (alpha[:n] @ a if t else alpha[:n]) * emit.take(classes[first[:n] + t], axis=0)
         scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
+        alpha /= scale[:, None]
         out[:n] += np.log10(scale)
     back = np.empty_like(out)
     back[order] = out
@@ -186,50 +186,60 @@ def expected(classes: np.ndarray, starts: np.ndarray, pi: np.ndarray, a: np.ndar
     active = np.searchsorted(-length, -np.arange(length[0]), side="left")
     emit = np.ascontiguousarray(b.T)
 
-    def ahead(alpha: np.ndarray, lo: int, hi: int) -> tuple[list, list]:
-        alphas, scales = [], []
+    ones = np.ones((k, 1), b.dtype)
+
+    def ahead(alpha: np.ndarray, lo: int, hi: int) -> tuple[list, list, list, list]:
+        alphas, scales, seen, emitted = [], [], [], []
         for t in range(lo, hi):
             n = active[t]
-            alpha = (alpha[:n] @ a if t else alpha[:n]) * emit[classes[first[:n] + t]]
-            scale = alpha.sum(1, keepdims=True)
-            alpha = alpha / scale
+            at = classes[first[:n] + t]
+            of = emit.take(at, axis=0)
+            alpha = (alpha[:n] @ a if t else alpha[:n]) * of
+            scale = alpha @ ones
+            alpha /= scale
             alphas.append(alpha)
             scales.append(scale)
-        return alphas, scales
+            seen.append(at)
+            emitted.append(of)
+        return alphas, scales, seen, emitted
 
     borders = range(0, int(length[0]), segment)
     entries = [np.broadcast_to(pi, (len(order), k))]
     for lo in borders[:-1]:
         entries.append(ahead(entries[-1], lo, lo + segment)[0][-1])
-    trans, gammas, seen, held, likelihood = np.zeros((k, k)), [], [], 0, 0.0
+    trans, gammas, classed, held, likelihood = np.zeros((k, k)), [], [], 0, 0.0
 
     def add() -> None:
-        at, gamma = np.concatenate(seen), np.concatenate(gammas)
-        found, at = np.unique(at, return_inverse=True)
-        for i in range(k):
-            emissions[i, found] += np.bincount(at, weights=gamma[:, i])
-        seen.clear()
+        at, gamma = np.concatenate(classed), np.concatenate(gammas)
+        by_class = np.argsort(at)
+        at = at[by_class]
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        emissions[:, at[begins]] += np.add.reduceat(gamma.take(by_class, axis=0), begins, axis=0).T
+        classed.clear()
         gammas.clear()
 
-    beta = np.ones((active[-1], k))
+    beta = np.ones((active[-1], k), b.dtype)
     for lo, entry in zip(reversed(borders), reversed(entries), strict=True):
-        alphas, scales = ahead(entry, lo, min(lo + segment, int(length[0])))
-        likelihood += float(np.log10(np.concatenate(scales)).sum())
+        alphas, scales, seen, emitted = ahead(entry, lo, min(lo + segment, int(length[0])))
+        likelihood += float(np.log10(np.concatenate(scales)).sum(dtype=float))
+        # exact arithmetic would give 1 here: single precision shall not drift
+        beta = beta / (alphas[-1][: len(beta)] * beta).sum(1, keepdims=True)
         for t in range(lo + len(alphas) - 1, lo - 1, -1):
             n = active[t]
             if n > len(beta):
-                beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-            at = classes[first[:n] + t]
+                beta = np.concatenate([beta, np.ones((n - len(beta), k), b.dtype)])
             gammas.append(alphas[t - lo] * beta)
-            seen.append(at)
+            classed.append(seen[t - lo])
             held += n
             if t:
-                back = emit[at] * beta / scales[t - lo]
+                back = emitted[t - lo]
+                back *= beta
+                back /= scales[t - lo]
                 trans += (alphas[t - lo - 1] if t > lo else entry)[:n].T @ back
                 beta = back @ a.T
             else:
                 begin = gammas[-1].sum(0)
-            if held > _GROUP or not t:
+            if held > _HELD or not t:
                 add()
                 held = 0
     return begin, trans * a, emissions, likelihood
@@ -243,21 +253,27 @@ def _groups(starts: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []
 
 
+def _sequences(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens of a column of encoded texts, and where each text starts (with the end at last)."""
+    starts = column.offsets.to_numpy().astype("int64")
+    return column.flatten().to_numpy(), starts - starts[0]
+
+
 def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int, gain: float = GAIN) -> tuple:
-    """Start, transition and emission probabilities after `rounds` over all training texts, fewer if the likelihood no longer gains."""
+    """Start, transition and emission probabilities after `rounds` over all encoded training texts, fewer if the likelihood no longer gains."""
     spark = training.sparkSession
     k, c = params[2].shape
     weight, before = vocabulary.value.weight, -np.inf
     names = [f"e{j}" for j in range(k)]
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(params)
+        shared = spark.sparkContext.broadcast(tuple(x.astype("float32") for x in params))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            classes, (pi, a, b) = _Classes(vocabulary.value.cls), shared.value
+            pi, a, b = shared.value
             # rows by class; before them the start, the likelihood and the transitions from each state
-            other, emissions = np.zeros((2 + k, k)), np.zeros((k, c))
+            other, emissions = np.zeros((2 + k, k)), np.zeros((c, k)).T
             for batch in batches:
-                seq, starts, _ = _batch_classes(batch.column(0), classes)
+                seq, starts = _sequences(batch.column(0))
                 for which in _groups(starts):
                     begin, trans, _, likelihood = expected(seq, starts, pi, a, b, which, emissions=emissions)
                     other[0] += begin
@@ -282,26 +298,36 @@ def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int, gain
     return params
 
 
-def _scored(df: DataFrame, vocabulary, params) -> DataFrame:
-    """Per row: tokens, known ones and sums over the head, the states' log10 likelihood, the tokens beyond the head."""
+def _encoded(df: DataFrame, vocabulary) -> DataFrame:
+    """Per row: tokens, known ones and sums over the head, the logarithms of its classes' sizes, the tokens beyond the head, all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (pi, a, b) = vocabulary.value, params.value
+        v = vocabulary.value
         classes = _Classes(v.cls)
         logs = np.concatenate([np.log10(v.n + 1), np.zeros(TAIL_CLASSES)])
         knows = np.concatenate([v.n > 0, np.zeros(TAIL_CLASSES, bool)]).astype("int64")
         for batch in batches:
             seq, starts, rest = _batch_classes(batch.column(2), classes)
-            n = np.diff(starts)
-            states = forward(seq, starts, pi, a, b) - np.add.reduceat(v.log_size[seq], starts[:-1]) if len(n) else np.zeros(0)
-            sums, known = (np.add.reduceat(x[seq], starts[:-1]) if len(n) else x[:0] for x in (logs, knows))
+            known, sums, sizes = (np.add.reduceat(x[seq], starts[:-1]) if len(starts) > 1 else x[:0] for x in (knows, logs, v.log_size))
             counted = [list(Counter(w for w in words if w not in v.absent).items()) for words in rest]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(sums), pa.array(states), pa.array(counted, pa.map_(pa.binary(), pa.int64()))],
-                names=["doc_id", "held_out", "n_tokens", "known", "sum_head", "states", "rest"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(known), pa.array(sums), pa.array(sizes), pa.array(counted, pa.map_(pa.binary(), pa.int64())), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(seq))],
+                names=["doc_id", "held_out", "n_tokens", "known", "sum_head", "sizes", "rest", "classes"],
             )
 
-    return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sum_head double, states double, rest map<binary, bigint>")
+    return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, sum_head double, sizes double, rest map<binary, bigint>, classes array<int>")
+
+
+def _scored(encoded: DataFrame, params) -> DataFrame:
+    """The columns of `encoded` with `states`, the states' log10 likelihood of the classes, in place of the last one, `classes`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, classes = batch.columns
+            yield pa.RecordBatch.from_arrays([*others, pa.array(forward(*_sequences(classes), *params.value))], names=[*batch.schema.names[:-1], "states"])
+
+    kinds = dict(encoded.dtypes[:-1]) | {"states": "double"}
+    return encoded.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
 
 
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
@@ -315,16 +341,18 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int
     total, distinct = sum(r.n for r in by_class), sum(r.v for r in by_class)
     v = Vocabulary(_head(counts, head), {r.cls: (r.n, r.v) for r in by_class})
     vocabulary = spark.sparkContext.broadcast(v)
-    params = baum_welch(d.where("NOT held_out").select("text"), vocabulary, initial(v.weight, states), rounds if total else 0)
-    rows = cut(_scored(d, vocabulary, spark.sparkContext.broadcast(params)))
+    # texts are split and looked up once, for all rounds and the scores
+    rows = cut(_encoded(d, vocabulary))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())  # of a checkpoint: the same on every read
+    params = baum_welch(rows.where("NOT held_out").select("classes"), vocabulary, initial(v.weight, states), rounds if total else 0)
     rare = rows.where(F.size("rest") > 0).select("rid", F.explode("rest").alias("token", "times"))
     # one row a text and token, and what is frequent in all texts is in the head: no hot key
     log = F.col("times") * F.log10(F.col("n") + 1)
     rare = rare.join(counts.where(learnt).select("token", "n"), "token").groupBy("rid").agg(F.sum(log).alias("sum_rest"), F.sum("times").alias("known_rest"))
-    out = rows.drop("rest").join(rare, "rid", "left")
+    numbers = ["rid", "doc_id", "held_out", "n_tokens", "known", "sum_head", "sizes"]
+    out = _scored(rows.select(*numbers, "classes"), spark.sparkContext.broadcast(params)).join(rare, "rid", "left")
     sums = F.col("sum_head") + F.coalesce("sum_rest", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_rest", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (sums - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (sums + F.col("states")).alias("score"),
+        (sums - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (sums + F.col("states") - F.col("sizes")).alias("score"),
     )
