@@ -9,6 +9,7 @@ from quillspark.functions import pattern_lexicons as L
 from quillspark.functions import pattern_text as P
 from quillspark.operators import pattern_hits as H
 from quillspark.operators import pattern_metrics as M
+from quillspark.operators import pattern_rewrite as W
 from quillspark.plans import pattern_sql as S
 from quillspark.plans import seeded
 
@@ -156,3 +157,30 @@ def pattern_gate(spark, sf_dir):
     budget = F.element_at(F.array(*map(F.lit, S.BUDGETS)), (n % 3 + 1).cast("int"))
     reasons = H.gate(gain(9, 4), gain(7, 2), gain(11, 3), (n % 10) / 10, n % 13 == 0, budget, n % 4 == 0)
     return corpus(spark, sf_dir).select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("accepted"))
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the corpus and of what is added for edits, one a row, dealt out evenly before they are edited."""
+    docs = seeded.with_edits(corpus(spark, sf_dir)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return docs.select("doc_id", F.posexplode_outer(P.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
+
+
+@query(S.smooth())
+def pattern_smooth(spark, sf_dir):
+    """Each sentence with verbs tightened, stock phrases smoothed and spaces tidied."""
+    return _sentences(spark, sf_dir).withColumn("sentence", W.finalised(W.smoothed(W.tightened(F.col("sentence")))))
+
+
+@query(S.by_category())
+def pattern_sentence_edits(spark, sf_dir):
+    """Each sentence as categories, a mode and a strength that follow from its document's number have it."""
+    n = F.col("doc_id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    cats = F.array(pick(S.CATEGORIES, n), pick(S.CATEGORIES, F.floor(n / len(S.CATEGORIES))))
+    return _sentences(spark, sf_dir).withColumn("sentence", W.by_category(F.col("sentence"), cats, pick(L.DOCUMENT_MODES, n), n % 3 == 0, n % 2 == 0))
+
+
+@query(S.lead_runs())
+def pattern_lead_runs(spark, sf_dir):
+    """Sentences, runs of short ones with the same start joined by threes."""
+    return W.join_lead_runs(_sentences(spark, sf_dir))

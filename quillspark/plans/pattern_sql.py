@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.functions import pattern_edits as E
 from quillspark.functions import pattern_lexicons as L
 from quillspark.functions import pattern_rules as R
 from quillspark.functions import pattern_text as P
@@ -13,6 +14,7 @@ VOICE_MODES = ["batch_only", "voice_pack_only", "hybrid", "frozen_project_voice"
 BUDGETS = ["minimal", "medium", "aggressive"]
 #: Voice scores below are outliers.
 THRESHOLD = 70
+CATEGORIES = ["communication", "hedging", "style", "language", "content", "structure", "soul"]
 DERIVED = ["word_count", "sentence_count", "avg_sentence", "sentence_spread", "dialogue_density", "question_rate", "modifier_density", "concrete_density", "abstract_density"]
 METRICS = [
     "word_count", "sentence_count", "paragraph_count", "avg_sentence", "avg_paragraph", "sentence_spread", "paragraph_spread", "lexical_diversity", "contraction_rate", "dialogue_density", "em_dash_rate", "semicolon_rate",
@@ -182,3 +184,57 @@ def gate() -> str:
 a AS (SELECT doc_id, CASE WHEN same THEN '' ELSE concat_ws(',', CASE WHEN q < -1.5 THEN 'quality' END, CASE WHEN r < -0.5 THEN 'risk' END, CASE WHEN h < -0.5 THEN 'humanizer' END,
   CASE WHEN w < CASE budget WHEN 'aggressive' THEN 0.35 WHEN 'medium' THEN 0.42 ELSE 0.5 END AND q < 8 AND h < 8 THEN 'cut too much' END, CASE WHEN q < 0.5 AND r < 0.5 AND h < 0.5 THEN 'no gain' END, CASE WHEN high AND h < 2 THEN 'residue' END) END AS reasons FROM g)
 SELECT doc_id, reasons, reasons = '' AS accepted FROM a"""
+
+
+_EDITED = SENTENCES.replace(BASE, f"c AS ({seeded.edits_sql()})")
+
+
+def _pattern(regex: str) -> str:
+    return quote(regex.format(B=chr(92) + "b", S=_SPACE))
+
+
+def edited(x: str, rules: list[tuple[str, str]]) -> str:
+    for regex, to in rules:
+        x = f"regexp_replace({x}, {_pattern(regex)}, {quote(to.replace('$', chr(92)))}, 'g')"
+    return x
+
+
+def capitalised(x: str) -> str:
+    mark = "[\"“‘(\\[]?"
+    at = f"length(regexp_extract(r, {quote(f'^{_SPACE}*{mark}')}))"
+    begins = f"CASE WHEN i = 1 THEN regexp_matches(r, {quote(f'^{mark}[a-z]')}) ELSE regexp_matches(r, {quote(f'^{_SPACE}+{mark}[a-z]')}) END"
+    return f"array_to_string(list_transform(regexp_extract_all({strip(x)}, '[^.!?]+|[.!?]'), lambda r, i: CASE WHEN {begins} THEN left(r, {at}) || upper(substr(r, {at} + 1, 1)) || substr(r, {at} + 2) ELSE r END), '')"
+
+
+def smooth() -> str:
+    as_if = _pattern(E.AS_IF)
+    whole = f"CASE WHEN regexp_matches(s, {as_if}) THEN {capitalised(f'regexp_extract(s, {as_if}, 1)')} || coalesce(nullif(regexp_extract(s, {as_if}, 2), ''), '.') ELSE s END"
+    return f"""WITH {_EDITED},
+e0 AS (SELECT doc_id, i, {edited(edited("s", E.TIGHTEN), E.PHRASES)} AS s FROM sent),
+e1 AS (SELECT doc_id, i, {edited(whole, E.ENDINGS)} AS s FROM e0)
+SELECT doc_id, i AS sentence_no, {capitalised(edited("s", E.FINAL))} AS sentence FROM e1"""
+
+
+def by_category() -> str:
+    listed = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
+    plain = f"mode NOT IN ({', '.join(map(quote, E.NARRATIVE))})"
+    when = {"always": "true", "plain": plain, "marketing": "mode = 'marketing'", "not marketing": "mode <> 'marketing'", "aggressive": "strong", "plain, not aggressive": f"{plain} AND NOT strong", "plain, inflated": f"{plain} AND inflated"}
+    steps, last = "", "k"
+    for n, (cats, condition, rules) in enumerate(E.BY_CATEGORY):
+        steps += f",\nk{n} AS (SELECT * REPLACE (CASE WHEN list_has_any(cats, {listed(cats)}) AND {when[condition]} THEN {edited('s', rules)} ELSE s END AS s) FROM {last})"
+        last = f"k{n}"
+    return f"""WITH {_EDITED},
+k AS (SELECT *, [{listed(CATEGORIES)}[doc_id % {len(CATEGORIES)} + 1], {listed(CATEGORIES)}[doc_id // {len(CATEGORIES)} % {len(CATEGORIES)} + 1]] AS cats, {listed(L.DOCUMENT_MODES)}[doc_id % 5 + 1] AS mode, doc_id % 3 = 0 AS strong, doc_id % 2 = 0 AS inflated FROM sent){steps}
+SELECT doc_id, i AS sentence_no, {strip(edited("s", E.SPACING))} AS sentence FROM {last}"""
+
+
+def lead_runs() -> str:
+    low, high = E.SHORT
+    lead = "list_aggregate(w[1:2], 'string_agg', ' ')"
+    return f"""WITH {_EDITED},
+t AS (SELECT doc_id, i, s, w, CASE WHEN len(w) BETWEEN {low} AND {high} THEN lower({lead}) END AS lead FROM (SELECT *, {words('s')} AS w FROM sent)),
+n AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lead ORDER BY i) AS island FROM t),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lead, island ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, lead, island) AS n FROM n WHERE lead IS NOT NULL),
+q AS (SELECT *, pos // 3 < n // 3 AS trio FROM p),
+j AS (SELECT doc_id, min(i) AS i, arg_min({lead}, i) || ' ' || string_agg(array_to_string(w[3:], ' '), ', then ' ORDER BY i) || '.' AS s FROM q WHERE trio GROUP BY doc_id, lead, island, pos // 3)
+SELECT doc_id, i AS sentence_no, s AS sentence FROM n WHERE lead IS NULL UNION ALL SELECT doc_id, i, s FROM q WHERE NOT trio UNION ALL SELECT doc_id, i, {capitalised('s')} FROM j"""

@@ -25,6 +25,15 @@ SEEDS = [
     "The same words again. Another line stands between them now. The same words again. The same words again.",
 ]
 
+#: What rewriting queries add to those, by doc_id modulo their number.
+EDITS = [
+    "We are here now. We are there. we are home. They wait. It was as if the road slept. He felt a wave of anger.",
+    "She was standing by the door, and i was looking up. The house that made it was the kind of house that held. And it knew that, was so.",
+    "Here is a revised version: Great question! Let me know if you'd like more. As an AI, it can often seem so. In conclusion, it seems that we delve into the landscape of things.",
+    "The **old** town — breathtaking , vibrant — is nestled within hills. It is a testament to a pivotal moment. On the one hand, it is very good. Ultimately, this underscores the need for rest.",
+    "No one came. They saw it. They saw him. They saw us all. They saw me too. They saw it then. They saw nothing new. They saw it again. They felt fear , , and waited.",
+]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source, n_chars, sequence_no; a batch is a source."""
@@ -37,3 +46,14 @@ def sql() -> str:
     """The same as documents(), over the table of that name."""
     cases = " ".join(f"WHEN {i} THEN '" + s.replace("'", "''") + "'" for i, s in enumerate(SEEDS))
     return f"SELECT doc_id, coalesce(text, '') || ' ' || CASE doc_id % {len(SEEDS)} {cases} END AS text, lang, source, n_chars FROM documents"
+
+
+def with_edits(df: DataFrame) -> DataFrame:
+    edit = F.element_at(F.array(*map(F.lit, EDITS)), (F.col("doc_id") % len(EDITS) + 1).cast("int"))
+    return df.withColumn("text", F.concat("text", F.lit(" "), edit))
+
+
+def edits_sql() -> str:
+    """The same as with_edits() of documents()."""
+    cases = " ".join(f"WHEN {i} THEN '" + s.replace("'", "''") + "'" for i, s in enumerate(EDITS))
+    return f"SELECT * REPLACE (text || ' ' || CASE doc_id % {len(EDITS)} {cases} END AS text) FROM ({sql()})"
