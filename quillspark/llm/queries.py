@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import hmm_lm, language_id, license_scan, mixing, near_dedup, packing, quality_rules, token_rollup, topk_search, url_reputation
+from quillspark.llm import fill_middle, hmm_lm, importance, language_id, license_scan, mixing, near_dedup, packing, quality_knn, quality_rules, token_rollup, topk_search, url_reputation
 from quillspark.llm.common import table
 
 
@@ -55,9 +55,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_knn.judge(table(spark, sf_dir, "documents"), labels)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_quality_rules, op5_url_reputation, op6_hmm_lm, op7_minhash_dedup, op8_token_rollup, op9_topk_search, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_language_id, op3_source_mix, op4_quality_rules, op5_url_reputation, op6_hmm_lm, op7_minhash_dedup, op8_token_rollup, op9_topk_search, op10_best_fit_packing, op11_quality_knn, op12_fill_middle, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op4_quality_rules": quality_rules.oracle(), "op5_url_reputation": url_reputation.oracle(), "op9_topk_search": topk_search.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op4_quality_rules": quality_rules.oracle(), "op5_url_reputation": url_reputation.oracle(), "op9_topk_search": topk_search.oracle(), "op12_fill_middle": fill_middle.oracle()}
