@@ -87,7 +87,7 @@ def char_counts(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", *[T.count_literal(F.col("text"), m).alias(k) for k, m in _MARKS.items()])
 
 
-@query(f"WITH {S.BASE} SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower({S.strip('left(text, 60)')}), '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM c")
+@query(f"WITH {S.BASE} SELECT doc_id, coalesce(nullif(trim(regexp_replace(lower({S.strip('text')}), '[^a-zA-Z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM c")
 def slugify(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
