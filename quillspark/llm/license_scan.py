@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import re
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let
 from quillspark.llm.license_rules import Rule, rules
 
 #: A word after A-Z are lower-cased; upper case is listed so that counting needs no lower-casing.
@@ -55,22 +58,38 @@ def _words(spaced_text: Column) -> Column:
     return F.size(F.filter(F.split(spaced_text, " "), lambda w: w != ""))
 
 
+def scan_array(values: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """emit(state before, value) for each value, the state going from zero through step(state, value); emit gives a `kind`.
+
+    A fold that lengthens its result copies it at each value. So values go in slices of about the root of
+    their number: one fold keeps the state at each slice's start, and each slice has a fold of its own.
+    """
+
+    def of(v: Column) -> Column:
+        length = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / length).cast("int")), lambda k: F.slice(v, k * length + 1, length))
+
+        def joined(parts: Column) -> Column:
+            begun = F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts"))
+            starts = F.aggregate(parts, begun, lambda a, p: F.struct(F.aggregate(p, a["state"], step).alias("state"), F.concat(a["starts"], F.array(a["state"])).alias("starts")))["starts"]
+            own = lambda p, s: F.aggregate(p, F.struct(s.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out")))["out"]
+            return F.flatten(F.zip_with(parts, starts, own))
+
+        return F.when(F.size(v) > 0, let(slices, joined)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(values, of)
+
+
 def _spans(norm: Column, pattern: Column) -> Column:
     """array<struct<at, to>>: the word intervals, end excluded, of a pattern's matches."""
-    matches = F.regexp_extract_all(norm, pattern, F.lit(0))
-    lengths = F.transform(matches, _words)
-    between = F.transform(F.split(norm, pattern), _words)
-    steps = F.zip_with(F.slice(between, 1, F.size(lengths)), lengths, lambda gap, n: F.struct(gap.alias("gap"), n.alias("n")))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,to:int>>").alias("out"))
-    folded = F.aggregate(
-        steps,
-        zero,
-        lambda a, x: F.struct(
-            (a["pos"] + x["gap"] + x["n"]).alias("pos"),
-            F.concat(a["out"], F.array(F.struct((a["pos"] + x["gap"]).alias("at"), (a["pos"] + x["gap"] + x["n"]).alias("to")))).alias("out"),
-        ),
-    )
-    return F.when(F.rlike(norm, pattern), folded["out"]).otherwise(F.array().cast("array<struct<at:int,to:int>>"))
+
+    def of(matches: Column) -> Column:
+        between = F.transform(F.split(norm, pattern), _words)
+        steps = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda gap, m: F.struct(gap.alias("gap"), _words(m).alias("n")))
+        after = lambda pos, x: pos + x["gap"] + x["n"]
+        return scan_array(steps, F.lit(0), after, lambda pos, x: F.struct((pos + x["gap"]).alias("at"), after(pos, x).alias("to")), "struct<at:int,to:int>")
+
+    return let(F.regexp_extract_all(norm, pattern, F.lit(0)), of)
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "detections", table: list[Rule] | None = None) -> DataFrame:
@@ -92,17 +111,17 @@ def detect(df: DataFrame, text: str = "text", out: str = "detections", table: li
     )
     df = df.withColumn("__found", F.when(n.isNotNull(), F.array_sort(found)))
     fields = "at:int,neg_to:int,tier:int,ord:int,label:string,base:boolean,to:int,suppressed:boolean"
-    zero = F.struct(F.array(*[F.lit(-1)] * 4).alias("reach"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
 
-    def step(a: Column, d: Column) -> Column:
-        to = -d["neg_to"]
-        reach = F.transform(a["reach"], lambda x, i: F.when((i == d["tier"]) & (to > x), to).otherwise(x))
+    def reached(reach: Column, d: Column) -> Column:
+        """How far the intervals of each tier reach, this one included."""
+        return F.transform(reach, lambda x, i: F.when((i == d["tier"]) & (-d["neg_to"] > x), -d["neg_to"]).otherwise(x))
+
+    def judged(reach: Column, d: Column) -> Column:
         # sorted by (start, longest, tier, rule): whatever contains this interval came before it
-        hidden = F.exists(F.slice(a["reach"], 1, d["tier"] + 1), lambda x: x >= to)
-        row = F.struct(d["at"].alias("at"), d["neg_to"].alias("neg_to"), d["tier"].alias("tier"), d["ord"].alias("ord"), d["label"].alias("label"), d["base"].alias("base"), to.alias("to"), hidden.alias("suppressed"))
-        return F.struct(reach.alias("reach"), F.concat(a["out"], F.array(row)).alias("out"))
+        hidden = F.exists(F.slice(reach, 1, d["tier"] + 1), lambda x: x >= -d["neg_to"])
+        return F.struct(d["at"].alias("at"), d["neg_to"].alias("neg_to"), d["tier"].alias("tier"), d["ord"].alias("ord"), d["label"].alias("label"), d["base"].alias("base"), (-d["neg_to"]).alias("to"), hidden.alias("suppressed"))
 
-    result = F.aggregate(F.col("__found"), zero, step)["out"]
+    result = scan_array(F.col("__found"), F.array(*[F.lit(-1)] * 4), reached, judged, f"struct<{fields}>")
     return df.withColumn(out, F.when(F.col("__found").isNotNull(), result).otherwise(F.array().cast(f"array<struct<{fields}>>"))).drop("__norm", "__found")
 
 
@@ -141,13 +160,13 @@ def oracle(table: list[Rule] | None = None) -> str:
     """The same over `documents`, in SQL: suppression by window functions, no prefilter."""
     table = rules() if table is None else table
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ",\n".join(f"({i},{quote(r.label)},{r.tier},{quote(keyword(r))},{quote(spaced(r.pattern))},{str(r.base).lower()})" for i, r in enumerate(table))
+    values = ",\n".join(f"({i},{quote(r.label)},{r.tier},{quote(spaced(r.pattern))},{str(r.base).lower()})" for i, r in enumerate(table))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
-WITH rule(ord,label,tier,keyword,pattern,base) AS (VALUES {values}),
+WITH rule(ord,label,tier,pattern,base) AS (VALUES {values}),
 doc AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text,''),'{_UPPER}','{_LOWER}'), '{word}') AS words FROM documents),
 norm AS (SELECT k, ' ' || array_to_string(words, '  ') || ' ' AS t FROM doc),
-hit AS (SELECT k, ord, label, tier, base, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS p FROM norm, rule WHERE contains(t, keyword) AND regexp_matches(t, pattern)),
+hit AS (SELECT k, ord, label, tier, base, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS p FROM norm, rule WHERE regexp_matches(t, pattern)),
 one AS (SELECT k, ord, label, tier, base, i,
   list_sum(list_transform(p[1:i], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2)) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: (length(x) - length(replace(x, ' ', ''))) // 2)), 0) AS lo,
   (length(m[i]) - length(replace(m[i], ' ', ''))) // 2 AS n FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hit)),

@@ -301,3 +301,20 @@ def test_rollup_of_documents(spark, documents):
     assert got == want
     assert token_rollup.document_totals(df.limit(0), labels, path).count() == 0
     assert token_rollup.document_totals(df, labels.limit(0), path).groupBy().sum("n_docs").first()[0] == 3 * len(rows)
+
+
+def test_license_scan_of_many_matches_in_one_text(spark):
+    license_scan.scan(spark.createDataFrame([(0, "cc by")], "doc_id long, text string")).collect()
+    began = time.time()
+    rows = [(n, "cc by " * n + "all rights reserved") for n in (1, 2, 63, 64, 65, 20_000)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 30
+    assert {n: (r.n_base, r.first_word, r.last_word, r.base_labels) for n, r in got.items()} == {n: (n + 1, 0, 2 * n, "cc-by,reserved") for n, _ in rows}
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 10, 99, 100, 101])
+def test_scan_array_is_a_running_fold(spark, size):
+    values = [(i * 7) % 11 for i in range(size)]
+    d = spark.createDataFrame([(values,)], "v array<int>")
+    got = d.select(license_scan.scan_array(F.col("v"), F.lit(0), lambda s, x: s + x, lambda s, x: F.struct(s.alias("before"), x.alias("x")), "struct<before:int,x:int>")).first()[0]
+    assert [(r.before, r.x) for r in got] == [(sum(values[:i]), x) for i, x in enumerate(values)]
