@@ -5,7 +5,7 @@ class of its own, with an expected count in each state; the others are classed b
 class emits its tokens in proportion to their counts plus one. So every token has a probability.
 
 1. Each partition counts its tokens; the counts are added up by token. All tokens are counted.
-2. The tokens above a cutoff on counts, `head` at most, become a broadcast table, the head.
+2. The tokens above a cutoff on their counts in training, `head` at most, become a broadcast table, the head.
 3. Each round of Baum-Welch reads all training texts: partitions add up expected counts by the exact
    forward-backward recursion over whole texts, and these are added up by class. Rounds end when the
    likelihood of a token gains less than `GAIN`, after `rounds` at most.
@@ -19,6 +19,7 @@ the same scores; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, text_bytes
+from quillspark.llm.common import cut, small_batches, text_bytes
 
 STATES = 8
 ROUNDS = 4
@@ -39,6 +40,8 @@ STAY = 0.9
 #: Occurrences by the states' shares that a class has beside its own, so that rare tokens lean on no state.
 LEAN = 2.0
 HEAD = 150_000
+#: What the head's tokens take together at most.
+HEAD_BYTES = 16 << 20
 TAIL_CLASSES = 4096
 FOLDS, FOLD = 7, 2
 #: The end of a text; white space, so that no word is like it.
@@ -90,34 +93,33 @@ def token_counts(df: DataFrame) -> DataFrame:
     return partial.groupBy("token", "cls").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The end, and the tokens above a cutoff on their counts in all texts, `most` at most, with their counts in training."""
-    step = F.floor(F.log2("m") * 16).cast("int")
-    sizes = counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect()
-    total, cutoff = 0, None
+def _above(counts: DataFrame, by: str, most: int) -> list[tuple[bytes, int]]:
+    """The tokens above a cutoff on the count `by`, `most` and HEAD_BYTES at most, with their counts in training."""
+    step = F.floor(F.log2(by) * 16).cast("int")
+    sizes = counts.where(F.col(by) > 0).groupBy(step.alias("s")).agg(F.count("*").alias("k"), F.sum(F.octet_length("token")).alias("b")).orderBy(F.desc("s")).collect()
+    total, width, cutoff = 0, 0, None
     for r in sizes:
-        if total + r.k > most:
+        if total + r.k > most or width + r.b > HEAD_BYTES:
             break
-        total, cutoff = total + r.k, r.s
-    wanted = F.col("token") == F.lit(END)
-    if cutoff is not None:
-        wanted = wanted | (step >= cutoff)
-    rows = counts.where(wanted).select("token", "n").collect()
-    return sorted(((bytes(r.token), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+        total, width, cutoff = total + r.k, width + r.b, r.s
+    rows = counts.where((F.col(by) > 0) & (step >= cutoff)).select("token", "n").collect() if cutoff is not None else []
+    return [(bytes(r.token), r.n) for r in rows]
 
 
 class Vocabulary:
     """Classes of the head's tokens, the tokens' counts, and for every class its weight and the logarithm of its size.
 
-    `absent` are the tokens frequent in held-out texts that training doesn't have: the model takes them for
-    tokens of the tail, and no join looks for them.
+    The head is what is frequent in the training texts, so held-out texts have no part in the model. `aside` are the
+    tokens that are frequent in all texts but not in training: the model takes them for tokens of the tail, but
+    their counts are looked up here, so that no frequent token is joined.
     """
 
-    def __init__(self, head: list[tuple[bytes, int]], tail: dict[int, tuple[int, int]]):
+    def __init__(self, head: list[tuple[bytes, int]], frequent: list[tuple[bytes, int]], tail: dict[int, tuple[int, int]], ends: int):
         # the end always has a class
-        own = [(END, dict(head).get(END, 0))] + [(t, n) for t, n in head if n and t != END]
-        self.absent = frozenset(t for t, n in head if not n)
+        head = sorted(((t, n) for t, n in head if t != END), key=lambda x: (-x[1], x[0]))
+        own = [(END, ends), *head]
         self.cls = {t: i for i, (t, _) in enumerate(own)}
+        self.aside = {t: n for t, n in frequent if t not in self.cls}
         self.n = np.array([n for _, n in own], float)
         words = np.array([tail.get(c, (0, 0)) for c in range(TAIL_CLASSES)], float)
         for t, n in own:
@@ -309,7 +311,10 @@ def _encoded(df: DataFrame, vocabulary) -> DataFrame:
         for batch in batches:
             seq, starts, rest = _batch_classes(batch.column(2), classes)
             known, sums, sizes = (np.add.reduceat(x[seq], starts[:-1]) if len(starts) > 1 else x[:0] for x in (knows, logs, v.log_size))
-            counted = [list(Counter(w for w in words if w not in v.absent).items()) for words in rest]
+            aside = [[n for w in words if (n := v.aside.get(w, 0))] for words in rest]
+            known += np.array([len(x) for x in aside], known.dtype)
+            sums += np.array([sum(math.log10(n + 1) for n in x) for x in aside], float)
+            counted = [list(Counter(w for w in words if w not in v.aside).items()) for words in rest]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.diff(starts)), pa.array(known), pa.array(sums), pa.array(sizes), pa.array(counted, pa.map_(pa.binary(), pa.int64())), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(seq))],
                 names=["doc_id", "held_out", "n_tokens", "known", "sum_head", "sizes", "rest", "classes"],
@@ -333,13 +338,15 @@ def _scored(encoded: DataFrame, params) -> DataFrame:
 def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
+    small_batches(spark)
     fold = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == FOLD, F.lit(True))
     d = df.select(F.col(doc_id).cast("long").alias("doc_id"), fold.alias("held_out"), F.col(text).alias("text"))
     counts = cut(token_counts(d))
     learnt = F.col("n") > 0
     by_class = counts.where(learnt).groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     total, distinct = sum(r.n for r in by_class), sum(r.v for r in by_class)
-    v = Vocabulary(_head(counts, head), {r.cls: (r.n, r.v) for r in by_class})
+    ends = counts.where(F.col("token") == F.lit(END)).select("n").first()
+    v = Vocabulary(_above(counts, "n", head), _above(counts, "m", head), {r.cls: (r.n, r.v) for r in by_class}, ends.n if ends else 0)
     vocabulary = spark.sparkContext.broadcast(v)
     # texts are split and looked up once, for all rounds and the scores
     rows = cut(_encoded(d, vocabulary))

@@ -93,6 +93,47 @@ def test_mix_reruns_and_applies(corpus, awkward, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.apply(nothing).count() == 0
 
 
+def test_mix_of_repeated_rows_is_near_target(documents):
+    rows = [(None, "one two three four five six seven", "en", "a")] * 1000 + [(i, "eight words are in this text of ours", "en", "b") for i in range(500)]
+    got = mixing.mix(documents(rows)).collect()
+    for source, size in (("a", 7), ("b", 8)):
+        of = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= size and all(r.taken <= 2 * r.size for r in of)
+    assert len(got) == 1500
+    applied = mixing.apply(documents(rows).repartition(5))
+    assert applied.count() == sum(r.copies for r in got) and applied.where("source = 'a'").count() == sum(r.copies for r in got if r.source == "a")
+
+
+def test_mix_columns_are_as_restated_in_sql(corpus):
+    import duckdb
+
+    want = duckdb.sql(f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM '{SF}/documents.parquet'),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source)
+        SELECT d.doc_id, d.size, s.source_size, s.source, s.w FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source""").fetchall()
+    got = {r.doc_id: r for r in mixing.mix(corpus).collect()}
+    assert {(i, r.size, r.source_size, r.source) for i, r in got.items()} == {x[:4] for x in want}
+    # water level: a level per weight, cut at twice the size, that fills 150 %
+    sizes = {x[3]: (x[2], x[4]) for x in want}
+    goal, low, high = 1.5 * sum(n for n, _ in sizes.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * n, mid * w) for n, w in sizes.values()) < goal else (low, mid)
+    assert all(r.target == pytest.approx(min(2 * sizes[r.source][0], low * sizes[r.source][1]), rel=1e-6) for r in got.values())
+
+
+def test_hmm_learns_from_training_texts_alone(documents):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    train = [i for i in range(200) if crc(i) % 7 != 2]
+    held = [i for i in range(200) if crc(i) % 7 == 2]
+    base = [(i, " ".join(rng.choices(words, k=30)), "en", "s") for i in train]
+    for other in ("zz " * 50, "w39 w38 " * 400):
+        df = documents(base + [(i, other, "en", "s") for i in held])
+        score = {r.doc_id: (r.score, r.base_score) for r in hmm_lm.score(df, head=10, rounds=2).collect() if not r.held_out}
+        first = score if other.startswith("zz") else first
+        assert all(score[i] == pytest.approx(first[i], abs=1e-9) for i in train)
+
+
 def test_hmm_base_and_tail(corpus, awkward):
     for df, head in ((corpus, 50), (corpus, 10**6), (awkward, 3)):
         rows = df.collect()
