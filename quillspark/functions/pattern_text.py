@@ -19,7 +19,7 @@ SPACE = f"[{SPACES}]"
 #: Begins and ends with a letter, digit or _.
 WORD = r"[A-Za-z0-9_](?:[A-Za-z0-9_’'-]*[A-Za-z0-9_])?"
 CONTRACTION = r"[A-Za-z0-9_]+'[A-Za-z0-9_]+"
-_BREAK = r"""(?<=[.!?]) (?=[A-Z0-9"“‘(\[])"""
+_BREAK = r""" (?<=[.!?] )(?=[A-Z0-9"“‘(\[])"""  # the blank first: most places are ruled out by one character
 _HEADING = r"^(#{1,6}[ \t][^\n\r]+?)\n+([\s\S]+)$"
 
 
@@ -53,12 +53,10 @@ def normalised(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(t, f"{SPACE}+\n", "\n"), "[ \u00a0]{2,}", " "))
 
 
-def phrase_hits(text: Column, phrases: Iterable[str]) -> Column:
-    """Occurrences of all phrases in any case, inside words too."""
-    low, total = F.lower(text), F.lit(0)
-    for p in phrases:
-        total = total + T.count_literal(low, p)
-    return total
+def phrase_hits(low: Column, phrases: Iterable[str]) -> Column:
+    """Occurrences of all phrases in a lower-cased text, inside words too; only a phrase that is there is counted."""
+    there = F.filter(T.constants(phrases), lambda p: F.contains(low, p))
+    return F.aggregate(there, F.lit(0), lambda a, p: a + ((F.length(low) - F.length(F.replace(low, p, F.lit("")))) / F.length(p)).cast("int"))
 
 
 def any_word(words: Iterable[str]) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicons as L
@@ -30,6 +30,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns, each worked out once a row whatever is made from it later.
+
+    Spark merges neighbouring projections and may put an expression in the place of each of its names; it
+    does not do so across a generator.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def constants(values: Iterable[str | float | int]) -> Column:
+    """An array of constants as one expression, however many there are."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join(quoted(v) if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else str(v) for v in values) + ")")
+
+
 def words_pattern(words: Iterable[str]) -> str:
     """Any of these phrases between word boundaries, case aside."""
     return rf"(?iU)\b(?:{'|'.join(map(re.escape, words))})\b".replace(r"\ ", " ").replace(r"\'", "'")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import pattern_edits as E
 from quillspark.functions import pattern_lexicons as L
 from quillspark.functions import pattern_rules as R
 from quillspark.functions import pattern_text as P
@@ -19,45 +24,81 @@ def pattern(regex: str) -> str:
     return regex.format(B=_BOUNDARY, S=P.SPACE)
 
 
+#: Needles in order: number, rule, phrase; and number, rule, pattern.
+_NEEDLES = list(enumerate((i, kind, x) for i, rule in enumerate(R.RULES) for kind, xs in (("phrase", rule.phrases), ("regex", rule.regexes)) for x in xs))
+_PHRASES = [(n, i, x) for n, (i, kind, x) in _NEEDLES if kind == "phrase"]
+_REGEXES = [(n, i, x) for n, (i, kind, x) in _NEEDLES if kind == "regex"]
+
+
 def _found(x: Column) -> Column:
     """array<struct<rule, excerpt>> in order of rules, phrases before patterns; x: text, lower text, sentences."""
-    start = lambda needle: F.left(F.coalesce(F.get(x["s"], F.lit(0)), needle), F.lit(R.EXCERPT))
+    needle = lambda n, i, what: F.struct(n.alias("n"), i.alias("rule"), what.alias("needle"))
+    table = F.arrays_zip(T.constants([p for _, _, p in _PHRASES]).alias("p"), T.constants([n for n, _, _ in _PHRASES]).alias("n"), T.constants([i for _, i, _ in _PHRASES]).alias("i"))
+    phrases = F.transform(F.filter(table, lambda r: F.contains(x["low"], r["p"])), lambda r: needle(r["n"], r["i"], r["p"]))
+    regexes = F.array_compact(F.array(*[F.when(F.rlike(x["t"], F.lit(pattern(r))), needle(F.lit(n), F.lit(i), F.regexp_extract(x["t"], pattern(r), 0))) for n, i, r in _REGEXES]))
 
-    def hit(i: int, needle: Column) -> Column:
-        inside = F.get(F.filter(x["s"], lambda s: F.contains(F.lower(s), P.strip(F.lower(needle)))), F.lit(0))
-        return F.struct(F.lit(i).alias("rule"), F.coalesce(inside, start(needle)).alias("excerpt"))
+    def hit(h: Column) -> Column:
+        word = P.strip(F.lower(h["needle"]))
+        inside = F.get(F.filter(x["s"], lambda s: F.contains(F.lower(s), word)), F.lit(0))
+        start = F.left(F.coalesce(F.get(x["s"], F.lit(0)), h["needle"]), F.lit(R.EXCERPT))
+        return F.struct(h["rule"].alias("rule"), F.coalesce(inside, start).alias("excerpt"))
 
-    out = []
-    for i, rule in enumerate(R.RULES):
-        out += [F.when(F.contains(x["low"], F.lit(p)), hit(i, F.lit(p))) for p in rule.phrases]
-        out += [F.when(F.rlike(x["t"], F.lit(pattern(r))), hit(i, F.regexp_extract(x["t"], pattern(r), 0))) for r in rule.regexes]
-    return F.array_distinct(F.filter(F.array(*out), lambda h: h.isNotNull()))
+    return F.array_distinct(F.transform(F.array_sort(F.concat(phrases, regexes)), hit))
 
 
-def hits(df: DataFrame, mode: str = "mode", text: str = "text", out: str = "hits") -> DataFrame:
-    """df (with the metrics of its texts and a document mode) with `out`: array<struct<rule, excerpt, severity>>, the first 24.
+def found(c: Column, figure: Callable[[str], Column], mode: Column) -> Column:
+    """array<struct<rule, excerpt, severity>> of a text, the first 24; figure: its metrics by name.
 
     rule is a place in ALL. One row a rule and excerpt; rules that a mode excludes give none.
     """
-    c = F.col(text)
     source = F.struct(c.alias("t"), F.lower(c).alias("low"), P.sentences(c).alias("s"))
     tests = [
-        (F.col("sentence_count") >= 5) & (F.col("sentence_spread") < 4.2),
-        (F.col("word_count") > 90) & (F.col("abstract_density") > F.col("concrete_density") * 1.35),
-        (F.col("word_count") > 120) & (F.col("dialogue_density") == 0) & (F.col("question_rate") < 0.02) & (F.col("concrete_density") < 0.018),
+        (figure("sentence_count") >= 5) & (figure("sentence_spread") < 4.2),
+        (figure("word_count") > 90) & (figure("abstract_density") > figure("concrete_density") * 1.35),
+        (figure("word_count") > 120) & (figure("dialogue_density") == 0) & (figure("question_rate") < 0.02) & (figure("concrete_density") < 0.018),
     ]
     first = lambda x: F.left(F.coalesce(F.get(x["s"], F.lit(0)), P.strip(x["t"])), F.lit(R.EXCERPT))
     derived = lambda x: F.filter(F.array(*[F.when(test, F.struct(F.lit(len(R.RULES) + i).alias("rule"), first(x).alias("excerpt"))) for i, test in enumerate(tests)]), lambda h: h.isNotNull())
-    table = F.array(*[F.array(*[F.lit(R.weight(r, m)) for m in L.DOCUMENT_MODES]) for r in ALL])
-    at = F.coalesce(F.array_position(F.array(*map(F.lit, L.DOCUMENT_MODES)), F.col(mode)), F.lit(1)).cast("int")
+    modes = L.DOCUMENT_MODES
+    table = T.constants([R.weight(r, m) for r in ALL for m in modes])
+    at = F.coalesce(F.array_position(T.constants(modes), mode), F.lit(1)).cast("int")
     at = F.greatest(at, F.lit(1)) - 1
-    weighed = lambda h: F.struct(h["rule"].alias("rule"), h["excerpt"].alias("excerpt"), F.get(F.get(table, h["rule"]), at).alias("severity"))
-    found = T.let(source, lambda x: F.concat(_found(x), derived(x)))
-    return df.withColumn(out, F.slice(F.filter(F.transform(found, weighed), lambda h: h["severity"] > 0), 1, R.MOST_HITS))
+    weighed = lambda h: F.struct(h["rule"].alias("rule"), h["excerpt"].alias("excerpt"), F.get(table, h["rule"] * len(modes) + at).alias("severity"))
+    every = T.let(source, lambda x: F.concat(_found(x), derived(x)))
+    return F.slice(F.filter(F.transform(every, weighed), lambda h: h["severity"] > 0), 1, R.MOST_HITS)
+
+
+def hits(df: DataFrame, mode: str = "mode", text: str = "text", out: str = "hits") -> DataFrame:
+    """df (with the metrics of its texts and a document mode) with `out`: found() of its texts."""
+    return df.withColumn(out, found(F.col(text), F.col, F.col(mode)))
+
+
+def sentence_hits(c: Column, mode: Column) -> Column:
+    """struct<categories, inflated> of one sentence: the categories of its hits, whether significance inflation is one.
+
+    A sentence has one excerpt, so a rule has one hit and the limit of 24 is out of reach.
+    """
+
+    def present(x: Column, rule: R.PatternRule) -> Column:
+        tests = [F.exists(T.constants(rule.phrases), lambda p: F.contains(x["low"], p))] if rule.phrases else []
+        tests += [F.rlike(x["t"], F.lit(pattern(r))) for r in rule.regexes]
+        excluded = [m for m in L.DOCUMENT_MODES if R.weight(rule, m) <= 0]
+        hit = reduce(or_, tests)
+        return ~mode.isin(excluded) & hit if excluded else hit
+
+    def of(x: Column) -> Column:
+        count = lambda words: T.count(x["t"], P.any_word(words)) / x["n"]
+        concrete = count(L.DERIVED_CONCRETE)
+        drift = (x["n"] > 90) & (count(L.DERIVED_ABSTRACT) > concrete * 1.35)
+        neutral = (x["n"] > 120) & ~F.rlike(x["t"], F.lit('["“”]')) & (T.count_literal(x["t"], "?") < 0.02) & (concrete < 0.018)
+        names = [F.when(present(x, r), F.lit(r.category)) for r in R.RULES] + [F.when(t, F.lit(r.category)) for r, t in zip(R.DERIVED[1:], (drift, neutral), strict=True)]
+        return F.struct(F.array_distinct(F.array_compact(F.array(*names))).alias("categories"), present(x, R.RULES[R.INFLATION]).alias("inflated"))
+
+    return T.let(F.struct(c.alias("t"), F.lower(c).alias("low"), P.word_count(c).alias("n")), of)
 
 
 def category(rule: Column) -> Column:
-    return F.get(F.array(*[F.lit(r.category) for r in ALL]), rule)
+    return F.get(T.constants([r.category for r in ALL]), rule)
 
 
 def top_categories(found: Column) -> Column:
@@ -70,9 +111,8 @@ def top_categories(found: Column) -> Column:
     return T.let(F.transform(found, lambda h: category(h["rule"])), of)
 
 
-def humanizer_score(found: str = "hits") -> Column:
-    """100 less what hits, even cadence, abstraction, neutrality, modifiers and assistant talk cost."""
-    c, h = F.col, F.col(found)
+def humanizer_score(h: Column, c: Callable[[str], Column] = F.col) -> Column:
+    """100 less what hits, even cadence, abstraction, neutrality, modifiers and assistant talk cost; c: the text's metrics by name."""
     pattern_penalty = F.aggregate(h, F.lit(0.0), lambda a, x: a + x["severity"] * 4.8)
     talk = F.size(F.filter(h, lambda x: category(x["rule"]) == "communication")) * 4.5
     cadence = F.when(c("sentence_count") >= 5, T.clamp((4.5 - c("sentence_spread")) * 5.8, 0, 18)).otherwise(0)
@@ -89,6 +129,41 @@ def findings(found: Column) -> Column:
     return F.transform(F.slice(F.filter(found, serious), 1, R.MOST_FINDINGS), lambda h: F.struct(h["rule"].alias("rule"), h["excerpt"].alias("excerpt"), h["severity"].alias("severity"), priority(h["severity"]).alias("priority")))
 
 
+def annotations(c: Column, found_: Column, mode: Column) -> Column:
+    """array<struct<type, original, reason>> of a text, the first 12: its first hits, then what each sentence shows.
+
+    found_: the text's hits. Where there are fewer than three, fillers in the text as a whole are noted too.
+    """
+    note = lambda kind, original, reason: F.struct(kind.alias("type"), original.alias("original"), reason.alias("reason"))
+    of_hit = lambda h: note(category(h["rule"]), h["excerpt"], F.get(T.constants([R.HINTS[r.id] for r in ALL]), h["rule"]))
+    narrative = mode.isin(E.NARRATIVE)
+
+    def of_sentence(s: Column) -> Column:
+        any_of = lambda phrases: F.exists(T.constants(phrases), lambda p: F.contains(F.lower(s), p))
+        tests = [
+            F.rlike(s, F.lit(pattern(R.RULES[R.OPENER].regexes[0]))), any_of(L.STRUCTURE), narrative & any_of(L.FICTION_TELL), ~narrative & any_of(L.REGISTER), F.rlike(s, F.lit("[—;:]")) & (P.word_count(s) > R.LONG),
+        ]
+        return F.array_compact(F.array(*[F.when(t, note(F.lit(kind), s, F.lit(reason))) for t, (kind, reason) in zip(tests, R.REMARKS.items(), strict=True)]))
+
+    def filled(notes: Column) -> Column:
+        filler = F.exists(T.constants(L.FILLER), lambda p: F.contains(F.lower(c), p))
+        last = F.array(note(F.lit(R.FALLBACK[0]), F.get(F.split(c, "\n+"), F.lit(0)), F.lit(R.FALLBACK[1])))
+        return F.slice(F.when((F.size(notes) < R.FEW_NOTES) & filler, F.concat(notes, last)).otherwise(notes), 1, R.MOST_NOTES)
+
+    return T.let(F.concat(F.transform(F.slice(found_, 1, R.HIT_NOTES), of_hit), F.flatten(F.transform(P.sentences(c), of_sentence))), filled)
+
+
+# What a reason of the gate says.
+REASONS = {
+    "quality": "Quality dropped below the acceptance floor.",
+    "risk": "Detector risk got worse after rewrite.",
+    "humanizer": "Humanizer score regressed after rewrite.",
+    "cut too much": "Rewrite cut too much material for the current edit budget.",
+    "no gain": "Rewrite did not improve quality, risk, or Humanizer score enough to keep.",
+    "residue": "High-priority residue remained after the second pass.",
+}
+
+
 def gate(quality: Column, risk: Column, humanizer: Column, word_ratio: Column, same: Column, budget: Column, high_residue: Column) -> Column:
     """array<string>: why a rewrite is reverted, empty if it is accepted. quality, risk, humanizer: gains; same: nothing was changed."""
     least = F.when(budget == "aggressive", 0.35).when(budget == "medium", 0.42).otherwise(0.5)

@@ -13,68 +13,93 @@ from quillspark.functions import pattern_text as P
 from quillspark.functions import text as T
 
 PROFILE = list(L.PROFILE_SCALE)
+METRICS = [
+    "word_count", "sentence_count", "paragraph_count", "avg_sentence", "avg_paragraph", "sentence_spread", "paragraph_spread", "lexical_diversity", "contraction_rate", "dialogue_density", "em_dash_rate", "semicolon_rate",
+    "question_rate", "exclamation_rate", "fragment_rate", "long_sentence_rate", "repetition_rate", "modifier_density", "concrete_density", "abstract_density", "filler_hits", "structure_hits", "fiction_hits", "register_hits",
+]
 
 
-def segments(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct `seg` of what the metrics are made from: counts by paragraph and sentence, words."""
+def segment(c: Column) -> Column:
+    """What the metrics are made from: struct of words by paragraph and by sentence, and of counts of words."""
     at_least_one = lambda parts: F.transform(parts, lambda s: F.greatest(P.word_count(s), F.lit(1)))
     repeats = lambda w: F.size(F.filter(w, lambda x, i: F.when(i > 0, x == F.get(w, F.greatest(i - 1, F.lit(0)))).otherwise(False)))
     of_words = lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("unique"), repeats(w).alias("repeats"))
-    c = F.col(text)
-    return df.withColumn("seg", F.struct(at_least_one(P.paragraphs(c)).alias("par"), at_least_one(P.sentences(c)).alias("sent"), T.let(F.transform(P.words(c), F.lower), of_words).alias("w")))
+    return F.struct(at_least_one(P.paragraphs(c)).alias("par"), at_least_one(P.sentences(c)).alias("sent"), T.let(F.transform(P.words(c), F.lower), of_words).alias("w"))
+
+
+def measured(c: Column) -> Column:
+    """struct of the metrics of a text, quality_score and detector_risk among them."""
+
+    def of(x: Column) -> Column:
+        par, sent = x["seg"]["par"], x["seg"]["sent"]
+        words, sentences = F.greatest(x["seg"]["w"]["n"], F.lit(1)), F.greatest(F.size(sent), F.lit(1))
+        share = lambda n: n / sentences
+        density = lambda of: T.count(c, P.any_word(of)) / words
+        hits = lambda *lists: reduce(add, (P.phrase_hits(x["low"], phrases) for phrases in lists))
+        values = {
+            "word_count": words,
+            "sentence_count": F.size(sent),
+            "paragraph_count": F.size(par),
+            "avg_sentence": T.mean(sent),
+            "avg_paragraph": T.mean(par),
+            "sentence_spread": T.stdev(sent),
+            "paragraph_spread": T.stdev(par),
+            "lexical_diversity": x["seg"]["w"]["unique"] / words,
+            "contraction_rate": T.count(c, P.CONTRACTION) / words,
+            "dialogue_density": T.count(c, '["“”]') / 2 / F.greatest(F.size(par), F.lit(1)),
+            "em_dash_rate": share(T.count_literal(c, "—")),
+            "semicolon_rate": share(T.count_literal(c, ";")),
+            "question_rate": share(T.count_literal(c, "?")),
+            "exclamation_rate": share(T.count_literal(c, "!")),
+            "fragment_rate": share(T.how_many(sent, lambda n: n < 5)),
+            "long_sentence_rate": share(T.how_many(sent, lambda n: n > 24)),
+            "repetition_rate": x["seg"]["w"]["repeats"] / words,
+            "modifier_density": density(L.MODIFIERS),
+            "concrete_density": density(L.CONCRETE),
+            "abstract_density": density(L.ABSTRACT),
+            "filler_hits": hits(L.FILLER, L.TRANSITIONS),
+            "structure_hits": hits(L.STRUCTURE),
+            "fiction_hits": hits(L.FICTION_TELL),
+            "register_hits": hits(L.REGISTER),
+        }
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def scored(m: Column) -> Column:
+        over = lambda name, limit: F.greatest(F.lit(0.0), m[name] - limit)
+        hits = lambda *weights: reduce(add, (w * m[n] for n, w in zip(("filler_hits", "structure_hits", "fiction_hits", "register_hits"), weights, strict=True)))
+        quality = 100 - (hits(5, 3, 4, 5) + 120 * m["repetition_rate"] + 1.2 * F.abs(m["avg_sentence"] - 18) + 0.7 * m["sentence_spread"] + 0.05 * m["paragraph_spread"] + 28 * over("long_sentence_rate", 0.15) + 20 * over("fragment_rate", 0.1))
+        risk = 16 + hits(7.5, 4.5, 5, 6) + 140 * m["repetition_rate"] + 100 * m["modifier_density"] + 24 * over("long_sentence_rate", 0.16) + 18 * over("fragment_rate", 0.15)
+        return F.struct(*[m[k].alias(k) for k in METRICS], T.clamp(quality).alias("quality_score"), T.clamp(risk).alias("detector_risk"))
+
+    return T.let(T.let(F.struct(segment(c).alias("seg"), F.lower(c).alias("low")), of), scored)
 
 
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the metrics of its texts, quality_score and detector_risk among them."""
-    c, par, sent = F.col(text), F.col("seg.par"), F.col("seg.sent")
-    words, sentences = F.greatest(F.col("seg.w.n"), F.lit(1)), F.greatest(F.size(sent), F.lit(1))
-    share = lambda n: n / sentences
-    density = lambda of: T.count(c, P.any_word(of)) / words
-    columns = {
-        "word_count": words,
-        "sentence_count": F.size(sent),
-        "paragraph_count": F.size(par),
-        "avg_sentence": T.mean(sent),
-        "avg_paragraph": T.mean(par),
-        "sentence_spread": T.stdev(sent),
-        "paragraph_spread": T.stdev(par),
-        "lexical_diversity": F.col("seg.w.unique") / words,
-        "contraction_rate": T.count(c, P.CONTRACTION) / words,
-        "dialogue_density": T.count(c, '["“”]') / 2 / F.greatest(F.size(par), F.lit(1)),
-        "em_dash_rate": share(T.count_literal(c, "—")),
-        "semicolon_rate": share(T.count_literal(c, ";")),
-        "question_rate": share(T.count_literal(c, "?")),
-        "exclamation_rate": share(T.count_literal(c, "!")),
-        "fragment_rate": share(T.how_many(sent, lambda n: n < 5)),
-        "long_sentence_rate": share(T.how_many(sent, lambda n: n > 24)),
-        "repetition_rate": F.col("seg.w.repeats") / words,
-        "modifier_density": density(L.MODIFIERS),
-        "concrete_density": density(L.CONCRETE),
-        "abstract_density": density(L.ABSTRACT),
-        "filler_hits": P.phrase_hits(c, L.FILLER) + P.phrase_hits(c, L.TRANSITIONS),
-        "structure_hits": P.phrase_hits(c, L.STRUCTURE),
-        "fiction_hits": P.phrase_hits(c, L.FICTION_TELL),
-        "register_hits": P.phrase_hits(c, L.REGISTER),
-    }
-    df = segments(df, text).withColumns(columns).drop("seg")
-    over = lambda name, limit: F.greatest(F.lit(0.0), F.col(name) - limit)
-    hits = lambda *weights: reduce(add, (w * F.col(n) for n, w in zip(("filler_hits", "structure_hits", "fiction_hits", "register_hits"), weights, strict=True)))
-    quality = 100 - (hits(5, 3, 4, 5) + 120 * F.col("repetition_rate") + 1.2 * F.abs(F.col("avg_sentence") - 18) + 0.7 * F.col("sentence_spread") + 0.05 * F.col("paragraph_spread") + 28 * over("long_sentence_rate", 0.15) + 20 * over("fragment_rate", 0.1))
-    risk = 16 + hits(7.5, 4.5, 5, 6) + 140 * F.col("repetition_rate") + 100 * F.col("modifier_density") + 24 * over("long_sentence_rate", 0.16) + 18 * over("fragment_rate", 0.15)
-    return df.withColumns({"quality_score": T.clamp(quality), "detector_risk": T.clamp(risk)})
+    """df with measured() of its texts, as columns."""
+    return T.bound(df, __m=measured(F.col(text))).select(*df.columns, "__m.*")
+
+
+def figures(c: Column) -> Column:
+    """struct of the metrics that the hit detector makes for itself, by its own word lists."""
+
+    def of(seg: Column) -> Column:
+        words, sentences = F.greatest(seg["n"], F.lit(1)), F.greatest(F.size(seg["sent"]), F.lit(1))
+        blocks = F.size(F.filter(F.split(c, "\n{2,}"), lambda b: b != ""))
+        density = lambda of: T.count(c, P.any_word(of)) / words
+        values = {
+            "word_count": words, "sentence_count": F.size(seg["sent"]), "avg_sentence": T.mean(seg["sent"]), "sentence_spread": T.stdev(seg["sent"]),
+            "dialogue_density": T.count(c, '["“”]') / 2 / F.greatest(blocks, F.lit(1)), "question_rate": T.count_literal(c, "?") / sentences,
+            "modifier_density": density(L.MODIFIERS), "concrete_density": density(L.DERIVED_CONCRETE), "abstract_density": density(L.DERIVED_ABSTRACT),
+        }
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    sent = F.transform(P.sentences(c), lambda s: F.greatest(P.word_count(s), F.lit(1)))
+    return T.let(F.struct(P.word_count(c).alias("n"), sent.alias("sent")), of)
 
 
 def derived(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the metrics that the hit detector makes for itself, by its own word lists."""
-    c, sent = F.col(text), F.col("seg.sent")
-    words, sentences = F.greatest(F.col("seg.w.n"), F.lit(1)), F.greatest(F.size(sent), F.lit(1))
-    blocks = F.size(F.filter(F.split(c, "\n{2,}"), lambda b: b != ""))
-    density = lambda of: T.count(c, P.any_word(of)) / words
-    return segments(df, text).withColumns({
-        "word_count": words, "sentence_count": F.size(sent), "avg_sentence": T.mean(sent), "sentence_spread": T.stdev(sent),
-        "dialogue_density": T.count(c, '["“”]') / 2 / F.greatest(blocks, F.lit(1)), "question_rate": T.count_literal(c, "?") / sentences,
-        "modifier_density": density(L.MODIFIERS), "concrete_density": density(L.DERIVED_CONCRETE), "abstract_density": density(L.DERIVED_ABSTRACT),
-    }).drop("seg")
+    """df with figures() of its texts, as columns."""
+    return T.bound(df, derived=figures(F.col(text))).select(*df.columns, "derived.*")
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -82,6 +107,11 @@ def profile(df: DataFrame) -> DataFrame:
     return df.withColumns({k: T.clamp(F.col(k) * scale, 0.0, 1.0) for k, scale in L.PROFILE_SCALE.items()})
 
 
+def profile_of(m: Column) -> Column:
+    """profile() of a struct of metrics, as a struct."""
+    return F.struct(*[T.clamp(m[k] * scale, 0.0, 1.0).alias(k) for k, scale in L.PROFILE_SCALE.items()])
+
+
 def centroid(profiles: DataFrame, *keys: str) -> DataFrame:
     """keys, then the mean of each figure, pre-aggregated in every task."""
     return profiles.groupBy(*keys).agg(*[F.avg(k).alias(k) for k in PROFILE])

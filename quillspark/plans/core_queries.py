@@ -284,8 +284,6 @@ def fence_blocks(spark, sf_dir):
 
 def _processed(spark, sf_dir):
     docs = corpus(spark, sf_dir).select(F.col("source").alias("batch_id"), "doc_id", F.col("text").alias("original_text"))
-    # rewriting costs far more than moving the texts once: deal them out evenly, whatever the files are like
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     number = F.regexp_replace("batch_id", "src", "").cast("int") % 3
     mode = F.when(number == 0, "house-voice").when(number == 1, "hybrid").otherwise("preserve-batch-voice")
     batches = docs.select("batch_id").distinct().select("batch_id", mode.alias("mode"), F.when(number == 2, "minimal").otherwise("medium").alias("edit_budget"), F.lit("We can't wait. It's late! The rain fell on the roof all night, and nobody slept.").alias("house_voice_samples"), F.lit(None).cast("string").alias("voice_pack_id"))

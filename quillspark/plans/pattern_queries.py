@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import pattern_lexicons as L
 from quillspark.functions import pattern_text as P
+from quillspark.functions import text as T
+from quillspark.operators import diff as D
 from quillspark.operators import pattern_hits as H
 from quillspark.operators import pattern_metrics as M
 from quillspark.operators import pattern_rewrite as W
+from quillspark.plans import pattern_run as N
 from quillspark.plans import pattern_sql as S
 from quillspark.plans import seeded
 
@@ -17,9 +20,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return register
@@ -126,8 +131,7 @@ def pattern_labels(spark, sf_dir):
 
 def _with_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus with metrics, a mode by number and hits."""
-    # matching the catalogue costs far more than moving the texts once: deal them out evenly, whatever the files are like
-    docs = corpus(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    docs = corpus(spark, sf_dir)
     m = M.metrics(docs)
     mode = F.element_at(F.array(*map(F.lit, L.DOCUMENT_MODES)), (F.col("doc_id") % 5 + 1).cast("int"))
     return H.hits(m.withColumn("mode", mode))
@@ -146,7 +150,7 @@ def pattern_audit(spark, sf_dir):
     d = _with_hits(spark, sf_dir)
     f = H.findings(F.col("hits"))
     cats = F.array_join(F.transform(H.top_categories(F.col("hits")), lambda x: F.concat(x["category"], F.lit(":"), x["count"].cast("string"))), ",")
-    return d.select("doc_id", F.size("hits").cast("long").alias("hit_count"), F.round(H.humanizer_score() + 1e-9, 4).alias("humanizer_score"), cats.alias("top_categories"), F.array_join(F.transform(f, lambda x: x["priority"]), ",").alias("priorities"))
+    return d.select("doc_id", F.size("hits").cast("long").alias("hit_count"), F.round(H.humanizer_score(F.col("hits")) + 1e-9, 4).alias("humanizer_score"), cats.alias("top_categories"), F.array_join(F.transform(f, lambda x: x["priority"]), ",").alias("priorities"))
 
 
 @query(S.gate())
@@ -159,10 +163,14 @@ def pattern_gate(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("accepted"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with what is added for edits."""
+    return seeded.with_edits(corpus(spark, sf_dir))
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of the corpus and of what is added for edits, one a row, dealt out evenly before they are edited."""
-    docs = seeded.with_edits(corpus(spark, sf_dir)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return docs.select("doc_id", F.posexplode_outer(P.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
+    """The sentences of _texts(), one a row."""
+    return _texts(spark, sf_dir).select("doc_id", F.posexplode_outer(P.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
 
 
 @query(S.smooth())
@@ -183,4 +191,76 @@ def pattern_sentence_edits(spark, sf_dir):
 @query(S.lead_runs())
 def pattern_lead_runs(spark, sf_dir):
     """Sentences, runs of short ones with the same start joined by threes."""
-    return W.join_lead_runs(_sentences(spark, sf_dir))
+    s = _texts(spark, sf_dir).select("doc_id", F.posexplode_outer(W.lead_runs(P.sentences(F.col("text")))).alias("no", "r")).where("no IS NOT NULL")
+    return s.select("doc_id", F.col("r.i").alias("sentence_no"), F.col("r.s").alias("sentence"))
+
+
+@query(S.subject_clauses())
+def pattern_subject_clauses(spark, sf_dir):
+    """Sentences with three clauses about one subject as one clause."""
+    return _sentences(spark, sf_dir).withColumn("sentence", W.collapse_subject_clauses(F.col("sentence")))
+
+
+@query(S.annotations())
+def pattern_annotations(spark, sf_dir):
+    """Annotations of a text: first hits, remarks by sentence, a fallback."""
+    d = T.bound(_with_hits(spark, sf_dir), notes=H.annotations(F.col("text"), F.col("hits"), F.col("mode")))
+    d = d.select("doc_id", F.posexplode_outer("notes").alias("note_no", "n")).where("note_no IS NOT NULL")
+    return d.select("doc_id", F.col("note_no").cast("long").alias("note_no"), "n.*")
+
+
+_SAMPLE = "It's late. We don't wait. He can't see it, and they're gone. Nobody came; I don't know."
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus through a run: a batch is a source, some documents have a mode of their own, are no texts or are settled."""
+    n = F.col("doc_id")
+    pick = lambda values, by: F.element_at(T.constants(values), (by % len(values) + 1).cast("int"))
+    d = _texts(spark, sf_dir).select(
+        "doc_id", F.col("source").alias("batch_id"), "text",
+        F.when(n % 50 == 49, "pdf").otherwise("text").alias("source_type"),
+        F.when(n % 7 == 0, pick(L.DOCUMENT_MODES, n)).alias("document_mode"),
+        F.when(n % 11 == 0, "approved").when(n % 13 == 0, "rejected").when(n % 3 == 0, "pending").alias("review_state"),
+    )
+    batches = settings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct())
+    size = F.length("source") + F.coalesce(F.regexp_extract("source", "([0-9])$", 1).try_cast("int"), F.lit(0))
+    batches = batches.select(F.col("source").alias("batch_id"), "mode", "budget", "voice_mode", pick(L.DOCUMENT_MODES, size).alias("document_mode"), F.lit(S.THRESHOLD).alias("threshold"), F.when(size % 2 == 0, _SAMPLE).alias("voice_sample"))
+    return N.run(d, batches)
+
+
+@query()
+def pattern_run(spark, sf_dir):
+    """What a run makes of each document: movements, gate, residue, voice and review state, with the revised text."""
+    r = _run(spark, sf_dir)
+    figure = lambda k: F.round(F.col(k) + 1e-9, 4).alias(k)
+    return r.select(
+        "doc_id", "batch_id", "document_mode", "status", "accepted", F.array_join("reasons", ",").alias("reasons"), "warning", "revised_text", *[figure(k) for k in N.DELTAS], F.size("annotations").alias("annotations"),
+        "residue.initial_hits", "residue.final_hits", F.size("residue.fixes").alias("fixes"), *[figure(k) for k in ("batch_distance", "target_distance", "voice_score")], "outlier", "review_state",
+    )
+
+
+@query()
+def pattern_run_summary(spark, sf_dir):
+    return N.summary(_run(spark, sf_dir))
+
+
+@query()
+def pattern_residue_fixes(spark, sf_dir):
+    """What the second pass did to each text, in order."""
+    d = _run(spark, sf_dir).select("doc_id", F.posexplode_outer("residue.fixes").alias("fix_no", "f")).where("fix_no IS NOT NULL")
+    return d.select("doc_id", "fix_no", "f.*")
+
+
+@query()
+def word_diff(spark, sf_dir):
+    """Runs of words that stayed, went and came between a text and its revision."""
+    d = T.bound(_run(spark, sf_dir).select("doc_id", "original_text", "revised_text"), parts=D.word_diff(F.col("original_text"), F.col("revised_text")))
+    d = d.select("doc_id", F.posexplode_outer(D.runs(F.col("parts"))).alias("run_no", "r")).where("run_no IS NOT NULL")
+    return d.select("doc_id", "run_no", "r.*")
+
+
+@query()
+def line_diff(spark, sf_dir):
+    """Changed lines of a text and its revision side by side, with two lines around them, broken after 90 characters."""
+    d = T.bound(_run(spark, sf_dir).select("doc_id", "original_text", "revised_text"), rows=D.line_diff(F.col("original_text"), F.col("revised_text")))
+    return D.wrapped(d, "rows", "doc_id")

@@ -238,3 +238,35 @@ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lead, island ORDER BY i)
 q AS (SELECT *, pos // 3 < n // 3 AS trio FROM p),
 j AS (SELECT doc_id, min(i) AS i, arg_min({lead}, i) || ' ' || string_agg(array_to_string(w[3:], ' '), ', then ' ORDER BY i) || '.' AS s FROM q WHERE trio GROUP BY doc_id, lead, island, pos // 3)
 SELECT doc_id, i AS sentence_no, s AS sentence FROM n WHERE lead IS NULL UNION ALL SELECT doc_id, i, s FROM q WHERE NOT trio UNION ALL SELECT doc_id, i, {capitalised('s')} FROM j"""
+
+
+def subject_clauses() -> str:
+    """By splitting: RE2 has no backreferences, so the three subjects are compared after the match."""
+    subject = "(the [a-z](?:[a-z'-]|{S}){{1,30}}|[A-Z][a-z]+)"
+    clauses = _pattern(rf"(?i)\b{subject}{{S}}+was{{S}}+([^,]+),{{S}}+{subject}{{S}}+was{{S}}+([^,]+),{{S}}+and{{S}}+{subject}{{S}}+was{{S}}+([^.!?]+)([.!?])?")
+    part = lambda i: f"regexp_extract(s, {clauses}, {i})"
+    wrapping = f"(?:{_SPACE}|[,;:.-])+"
+    bare = lambda x: strip(f"regexp_replace(regexp_replace({x}, '^{wrapping}', ''), '{wrapping}$', '')")
+    one = f"{capitalised('a')} || ' was ' || {bare('p')} || ', ' || {bare('q')} || ', and ' || {bare('r')} || coalesce(nullif(e, ''), '.')"
+    return f"""WITH {_EDITED},
+m AS (SELECT *, regexp_extract(s, {clauses}) AS m, {part(1)} AS a, {part(2)} AS p, {part(3)} AS b, {part(4)} AS q, {part(5)} AS c, {part(6)} AS r, {part(7)} AS e FROM sent),
+n AS (SELECT *, m <> '' AND lower(a) = lower(b) AND lower(a) = lower(c) AS same, {one} AS new FROM m)
+SELECT doc_id, i AS sentence_no, CASE WHEN same THEN left(s, strpos(s, m) - 1) || new || substr(s, strpos(s, m) + length(m)) ELSE s END AS sentence FROM n"""
+
+
+def annotations() -> str:
+    rules = [*R.RULES, *R.DERIVED]
+    hints = ",".join(f"({quote(r.id)},{quote(R.HINTS[r.id])})" for r in rules)
+    plain = f"mode NOT IN ({', '.join(map(quote, E.NARRATIVE))})"
+    any_of = lambda phrases: "(" + " OR ".join(f"contains(lower(s), {quote(p)})" for p in phrases) + ")"
+    opener = _pattern(R.RULES[R.OPENER].regexes[0])
+    tests = [f"regexp_matches(s, {opener})", any_of(L.STRUCTURE), f"NOT ({plain}) AND {any_of(L.FICTION_TELL)}", f"{plain} AND {any_of(L.REGISTER)}", f"len({words('s')}) > {R.LONG} AND regexp_matches(s, '[—;:]')"]
+    per = " UNION ALL ".join(f"SELECT doc_id, 1000 + i * 10 + {k} AS ord, {quote(kind)} AS type, s AS original, {quote(reason)} AS reason FROM sm WHERE {test}" for k, (test, (kind, reason)) in enumerate(zip(tests, R.REMARKS.items(), strict=True)))
+    filler = " OR ".join(f"contains(lower(text), {quote(p)})" for p in L.FILLER)
+    return f"""WITH {catalogue_hits()},
+hint(id, hint) AS (VALUES {hints}),
+sm AS (SELECT sent.doc_id, i, s, mode FROM sent JOIN md USING (doc_id)),
+nt AS (SELECT doc_id, no AS ord, category AS type, excerpt AS original, hint AS reason FROM h24 JOIN hint USING (id) WHERE no <= {R.HIT_NOTES} UNION ALL {per}),
+few AS (SELECT c.doc_id FROM c LEFT JOIN nt USING (doc_id) GROUP BY c.doc_id HAVING count(nt.ord) < {R.FEW_NOTES}),
+al2 AS (FROM nt UNION ALL SELECT doc_id, 1000000000, {quote(R.FALLBACK[0])}, string_split_regex(text, '\\n+')[1], {quote(R.FALLBACK[1])} FROM c JOIN few USING (doc_id) WHERE {filler})
+SELECT doc_id, no - 1 AS note_no, type, original, reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS no FROM al2) WHERE no <= {R.MOST_NOTES}"""

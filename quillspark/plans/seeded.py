@@ -31,13 +31,24 @@ EDITS = [
     "She was standing by the door, and i was looking up. The house that made it was the kind of house that held. And it knew that, was so.",
     "Here is a revised version: Great question! Let me know if you'd like more. As an AI, it can often seem so. In conclusion, it seems that we delve into the landscape of things.",
     "The **old** town — breathtaking , vibrant — is nestled within hills. It is a testament to a pivotal moment. On the one hand, it is very good. Ultimately, this underscores the need for rest.",
+    "The hall was dark, the hall was cold, and The Hall was empty! Mara was tired, mara was late, and Mara was -alone-. The cat was old, the dog was old, and the cat was gone.",
+    "There are very many rooms, however; it can often seem so. It is important to note that this can be seen as a start — or, in order to rest, a stop. I am not sure. They do not know, and he cannot say.",
     "No one came. They saw it. They saw him. They saw us all. They saw me too. They saw it then. They saw nothing new. They saw it again. They felt fear , , and waited.",
 ]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt out over the session's cores if its files are fewer; a table of many files stays where it is.
+
+    Analysing a text costs far more than moving it once, and one file of one row group is one task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, lang, source, n_chars, sequence_no; a batch is a source."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     seed = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("doc_id") % len(SEEDS) + 1).cast("int"))
     return d.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed))
 
