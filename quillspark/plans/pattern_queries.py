@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,14 @@ from quillspark.operators import diff as D
 from quillspark.operators import pattern_hits as H
 from quillspark.operators import pattern_metrics as M
 from quillspark.operators import pattern_rewrite as W
+from quillspark.plans import exports as X
+from quillspark.plans import pattern_rerun as R
 from quillspark.plans import pattern_run as N
 from quillspark.plans import pattern_sql as S
 from quillspark.plans import seeded
+from quillspark.plans.lineage import shared_folder
+from quillspark.plans.workflow_queries import review_log
+from quillspark.sources import saves
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,8 +219,8 @@ def pattern_annotations(spark, sf_dir):
 _SAMPLE = "It's late. We don't wait. He can't see it, and they're gone. Nobody came; I don't know."
 
 
-def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus through a run: a batch is a source, some documents have a mode of their own, are no texts or are settled."""
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and batches of a run: a batch is a source, some documents have a mode of their own, are no texts or are settled."""
     n = F.col("doc_id")
     pick = lambda values, by: F.element_at(T.constants(values), (by % len(values) + 1).cast("int"))
     d = _texts(spark, sf_dir).select(
@@ -224,8 +231,12 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     batches = settings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source").distinct())
     size = F.length("source") + F.coalesce(F.regexp_extract("source", "([0-9])$", 1).try_cast("int"), F.lit(0))
-    batches = batches.select(F.col("source").alias("batch_id"), "mode", "budget", "voice_mode", pick(L.DOCUMENT_MODES, size).alias("document_mode"), F.lit(S.THRESHOLD).alias("threshold"), F.when(size % 2 == 0, _SAMPLE).alias("voice_sample"))
-    return N.run(d, batches)
+    return d, batches.select(F.col("source").alias("batch_id"), "mode", "budget", "voice_mode", pick(L.DOCUMENT_MODES, size).alias("document_mode"), F.lit(S.THRESHOLD).alias("threshold"), F.when(size % 2 == 0, _SAMPLE).alias("voice_sample"))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus through a run."""
+    return N.run(*_inputs(spark, sf_dir))
 
 
 @query()
@@ -264,3 +275,25 @@ def line_diff(spark, sf_dir):
     """Changed lines of a text and its revision side by side, with two lines around them, broken after 90 characters."""
     d = T.bound(_run(spark, sf_dir).select("doc_id", "original_text", "revised_text"), rows=D.line_diff(F.col("original_text"), F.col("revised_text")))
     return D.wrapped(d, "rows", "doc_id")
+
+
+@query()
+def pattern_rerun(spark, sf_dir):
+    """States after a first run and a rerun of the documents that the review log asks for, with an aggressive budget."""
+    docs, batches = _inputs(spark, sf_dir)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    folder, columns = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", R.schema(spark)
+    R.first(docs, batches, folder, "first", "2024-01-01")
+    wanted = R.targets(review_log(spark, sf_dir)).select(F.col("doc_id").cast("string").alias("doc_id"))
+    wanted = docs.select("doc_id", "batch_id").join(wanted, "doc_id").withColumn("budget", F.lit("aggressive"))
+    R.rerun(spark, folder, wanted, batches, "second", "2024-01-02", columns)
+    state = saves.load(spark, folder, columns, "doc_id")
+    return state.select("doc_id", "batch_id", "status", "accepted", "revised_text", F.round(F.col("voice_score") + 1e-9, 4).alias("voice_score"), "outlier", "review_state", "reruns", "updated_at")
+
+
+@query()
+def export_pieces(spark, sf_dir):
+    """The files of a run's export, as rows: path, place in the file, content."""
+    d = _run(spark, sf_dir).withColumns({"name": F.concat_ws("", F.lit("Doc "), "doc_id", F.lit(".md")), "sequence_no": F.col("doc_id"), "notes": F.lit(None).cast("string")})
+    p = X.pieces(d)
+    return p.select("path", "part.k", "part.n", "content")
