@@ -163,5 +163,16 @@ def starts(sentence_tokens: Column) -> Column:
     return F.transform(sentence_tokens, lambda t: F.array_join(F.slice(t, 1, 2), " "))
 
 
+def runs(values: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """array<array<...>>: values cut before each one for which begins(it, the one before) holds."""
+
+    def of(v: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | begins(F.get(v, i), F.get(v, F.greatest(i - 1, F.lit(0)))))
+        cut = lambda b: F.transform(b, lambda i, k: F.slice(v, i + 1, F.coalesce(F.get(b, k + 1), F.size(v)) - i))
+        return F.when(F.size(v) > 0, let(places, cut)).otherwise(F.slice(F.array(v), 1, 0))
+
+    return let(values, of)
+
+
 def truths(flags: Column) -> Column:
     return F.size(F.filter(flags, lambda x: x))

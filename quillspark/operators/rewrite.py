@@ -61,13 +61,19 @@ def capitalised(c: Column) -> Column:
     return F.when(T.matches(c, r"^\p{Ll}"), F.concat(F.upper(F.left(c, F.lit(1))), F.substr(c, F.lit(2)))).otherwise(c)
 
 
+_STACKED = ["very", "really", "quite", "rather", "somewhat", "truly", "basically"]
+#: What a sentence holds if any filler or intensifier can go from it.
+_LOADED = T.words_pattern([*(p for phrases, _, _ in L.FILLERS for p in phrases), *_STACKED])
+
+
 def cleanup_sentence(sentence: Column) -> Column:
     """A sentence without fillers and stacked intensifiers, with dashes between words as commas; never empty."""
-    stacked = r"\b(?:very|really|quite|rather|somewhat|truly|basically)\b\s+\b(very|really|quite|rather|somewhat|truly|basically)\b"
+    any_of = "|".join(_STACKED)
+    stacked = rf"\b(?:{any_of})\b\s+\b({any_of})\b"
     sloppy = rf"\b(?:very|really|truly|quite)\s+({'|'.join(L.SLOPPY_ADJECTIVES)})\b"
     fillers = [(rf"\b(?:{'|'.join(p)})\b{after}", new) for p, after, new in L.FILLERS]
-    c = substitute(sentence, [*fillers, (stacked, "$1"), (sloppy, "$1")])
-    c = substitute(c, [(r"(\w)\s*—\s*(\w)", "$1, $2"), (r"(\w)\s*--\s*(\w)", "$1, $2"), (r"\s+,", ","), (r",\s*,", ", "), (r"[ \t]{2,}", " ")], "(?U)")
+    lighter = F.when(T.matches(sentence, _LOADED), substitute(sentence, [*fillers, (stacked, "$1"), (sloppy, "$1")])).otherwise(sentence)
+    c = substitute(lighter, [(r"(\w)\s*—\s*(\w)", "$1, $2"), (r"(\w)\s*--\s*(\w)", "$1, $2"), (r"\s+,", ","), (r",\s*,", ", "), (r"[ \t]{2,}", " ")], "(?U)")
     c = substitute(T.strip(c), [(r"^\s*,\s*", ""), (r"\s+([.?!,;:])", "$1")], "(?U)")
     return T.let(c, lambda x: F.when(x == "", sentence).otherwise(capitalised(x)))
 
@@ -80,10 +86,12 @@ def contraction_bias(text: Column, target: Column) -> Column:
     """Contract or expand where the text's rate is 0.012 or more off the target's; case is lost as it goes."""
     contract = [(rf"\b{a}\b", b) for a, b in L.CONTRACTIONS]
     expand = [(rf"\b{b}\b", a) for a, b in L.CONTRACTIONS]
+    # one look for any of them before each is looked for
+    holds = lambda rules: T.matches(text, "(?iU)" + "|".join(r for r, _ in rules))
 
     def biased(rate: Column) -> Column:
         goal = F.coalesce(target, rate)
-        return F.when(goal >= rate + 0.012, substitute(text, contract)).when(goal <= rate - 0.012, substitute(text, expand)).otherwise(text)
+        return F.when((goal >= rate + 0.012) & holds(contract), substitute(text, contract)).when((goal <= rate - 0.012) & holds(expand), substitute(text, expand)).otherwise(text)
 
     return T.let(contraction_rate(text), biased)
 
@@ -102,22 +110,25 @@ def align_lengths(paragraph: Column, target: Column) -> Column:
             options.append(F.when((at > 8) & (at < F.length(s) - 8) & (left != "") & (right != ""), halves))
         return F.coalesce(*options)
 
-    def folded(s: Column) -> Column:
-        zero = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+    def step(s: Column, i: Column) -> Column:
+        """Whether sentence i is merged with the next, and what comes of it."""
+        own, n, after = F.get(s, i)["s"], F.get(s, i)["n"], F.get(s, i + 1)
+        short = (n < F.greatest(F.lit(4.0), target - 9)) & after.isNotNull() & (after["n"] < F.greatest(F.lit(8.0), target - 5)) & ~F.endswith(own, F.lit("?")) & ~F.contains(own, F.lit('"'))
+        merged = F.array(F.concat(F.rtrim(own, F.lit(".!?")), F.lit(", "), F.lower(F.left(after["s"], F.lit(1))), F.substr(after["s"], F.lit(2))))
 
-        def step(a: Column, i: Column) -> Column:
-            own, after = F.get(s, i), F.get(s, i + 1)
-            n = F.size(T.tokens(own))
-            halves = F.when(n > target + 10, parted(own))
-            short = (n < F.greatest(F.lit(4.0), target - 9)) & after.isNotNull() & (F.size(T.tokens(after)) < F.greatest(F.lit(8.0), target - 5)) & ~F.endswith(own, F.lit("?")) & ~F.contains(own, F.lit('"'))
+        def of(halves: Column) -> Column:
             merge = halves.isNull() & F.coalesce(short, F.lit(False))
-            merged = F.array(F.concat(F.rtrim(own, F.lit(".!?")), F.lit(", "), F.lower(F.left(after, F.lit(1))), F.substr(after, F.lit(2))))
-            more = F.when(merge, merged).otherwise(F.coalesce(halves, F.array(own)))
-            return F.when(a["skip"], F.struct(F.lit(False).alias("skip"), a["out"].alias("out"))).otherwise(F.struct(merge.alias("skip"), F.concat(a["out"], more).alias("out")))
+            return F.struct(merge.alias("merge"), F.when(merge, merged).otherwise(F.coalesce(halves, F.array(own))).alias("more"))
+
+        return T.let(F.when(n > target + 10, parted(own)), of)
 
-        return F.when(F.size(s) == 0, F.lit("")).otherwise(F.array_join(F.aggregate(F.sequence(F.lit(0), F.size(s) - 1), zero, step)["out"], " "))
+    def joined(s: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: step(s, i))
+        # what is merged into the one before it takes no step: of neighbours that would all merge, every second one
+        taken = F.transform(T.runs(steps, lambda _, before: ~before["merge"]), lambda r: F.flatten(F.transform(F.filter(r, lambda _, j: j % 2 == 0), lambda x: x["more"])))
+        return F.when(F.size(s) == 0, F.lit("")).otherwise(F.array_join(F.flatten(taken), " "))
 
-    return T.let(T.sentences(paragraph), folded)
+    return T.let(F.transform(T.sentences(paragraph), lambda s: F.struct(s.alias("s"), F.size(T.tokens(s)).alias("n"))), joined)
 
 
 def document_mode_bias(text: Column, mode: Column) -> Column:
@@ -133,19 +144,21 @@ def blocks(text: Column) -> Column:
 
     Lines between code fences, structural lines and blank lines are not prose.
     """
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
-    zero = F.struct(F.lit(False).alias("code"), F.lit(False).alias("open"), F.array().cast("array<struct<prose:boolean,text:string>>").alias("out"))
-
-    def step(a: Column, line: Column) -> Column:
-        bare = T.strip(line)
-        fence = F.startswith(bare, F.lit("```"))
-        prose = ~fence & ~a["code"] & ~T.is_structural_line(bare) & (bare != "")
-        last = F.element_at(a["out"], -1)
-        grown = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.struct(F.lit(True).alias("prose"), F.concat(last["text"], F.lit("\n"), line).alias("text"))))
-        added = F.concat(a["out"], F.array(F.struct(prose.alias("prose"), line.alias("text"))))
-        return F.struct(F.when(fence, ~a["code"]).otherwise(a["code"]).alias("code"), prose.alias("open"), F.when(prose & a["open"], grown).otherwise(added).alias("out"))
-
-    return F.aggregate(lines, zero, step)["out"]
+    def marked(line: Column) -> Column:
+        return T.let(T.strip(line), lambda bare: F.struct(line.alias("line"), F.startswith(bare, F.lit("```")).alias("fence"), (~T.is_structural_line(bare) & (bare != "")).alias("prose")))
+
+    def of_section(section: Column, k: Column, first: Column) -> Column:
+        """A fence and what follows it, or what is before the first fence."""
+        code = (k + first) % 2 == 1
+        told = F.transform(section, lambda x: F.struct(x["line"].alias("line"), (x["prose"] & ~x["fence"] & ~code).alias("prose")))
+        parts = T.runs(told, lambda x, before: ~(x["prose"] & before["prose"]))
+        return F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0))["prose"].alias("prose"), F.array_join(F.transform(p, lambda x: x["line"]), "\n").alias("text")))
+
+    def of(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))["fence"].cast("int")
+        return F.flatten(F.transform(T.runs(lines, lambda x, _: x["fence"]), lambda s, k: of_section(s, k, first)))
+
+    return T.let(F.transform(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), marked), of)
 
 
 def _revised(block: Column, target: Column, budget: Column) -> Column:

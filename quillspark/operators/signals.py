@@ -67,8 +67,9 @@ def annotate(df: DataFrame, text: str = "text", segmented: bool = False) -> Data
         return F.filter(F.array(*rows), lambda x: x.isNotNull())
 
     def firsts(rows: Column) -> Column:
-        keys = F.transform(rows, lambda a: F.concat_ws("\u0001", a["type"], a["original"]))
-        return T.let(keys, lambda k: F.filter(rows, lambda a, i: F.array_position(k, F.get(k, i)) == i + 1))
+        keyed = F.array_sort(F.transform(rows, lambda a, i: F.struct(F.concat_ws("\u0001", a["type"], a["original"]).alias("k"), i.alias("i"), a.alias("a"))))
+        new = lambda k: F.filter(k, lambda x, i: (i == 0) | (x["k"] != F.get(k, F.greatest(i - 1, F.lit(0)))["k"]))
+        return F.transform(F.array_sort(F.transform(T.let(keyed, new), lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a")))), lambda x: x["a"])
 
     every = F.flatten(F.transform(F.arrays_zip("__s", "__st", "__mono", "__same"), of_sentence))
     return df.withColumn("__ann", T.let(every, firsts).cast(f"array<{ANNOTATION}>"))

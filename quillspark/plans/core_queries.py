@@ -253,15 +253,23 @@ def mode_bias(spark, sf_dir):
     return d.select("doc_id", "mode", rewrite.document_mode_bias(F.col("text"), F.col("mode")).alias("biased"))
 
 
-@query()
+_PLAIN = f"WITH {S.BASE}, a AS (SELECT doc_id, {S.ASCII.format('text')} AS text FROM c)"
+
+
+def _plain(spark, sf_dir):
+    """The corpus with accented letters as x, for RE2's word boundaries."""
+    return corpus(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[À-ÖØ-öø-ÿĀ-ɏ]", "x").alias("text"))
+
+
+@query(f"{_PLAIN},{S.sentences('sent', 'a', 'doc_id', 'text')},{S.cleaned('cl', 'sent')} SELECT doc_id, i AS sentence_no, x AS cleaned FROM cl")
 def cleanup_sentence(spark, sf_dir):
-    d = corpus(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
+    d = _plain(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_no", "sentence")).where("sentence_no IS NOT NULL")
     return d.select("doc_id", "sentence_no", rewrite.cleanup_sentence(F.col("sentence")).alias("cleaned"))
 
 
-@query()
+@query(f"{_PLAIN},{S.contracted('cb', 'a', 'doc_id % 2 = 0')} SELECT doc_id, x AS biased FROM cb")
 def contraction_bias(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", rewrite.contraction_bias(F.col("text"), F.when(F.col("doc_id") % 2 == 0, 0.0).otherwise(0.5)).alias("biased"))
+    return _plain(spark, sf_dir).select("doc_id", rewrite.contraction_bias(F.col("text"), F.when(F.col("doc_id") % 2 == 0, 0.0).otherwise(0.5)).alias("biased"))
 
 
 @query()

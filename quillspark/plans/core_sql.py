@@ -140,3 +140,34 @@ def profiles(out: str, source: str, key: str, text: str) -> str:
 def distance(left: str, right: str, digits: int | None = 4) -> str:
     terms = [f"abs({left}.{k} - {right}.{k}) / greatest(abs({left}.{k}), abs({right}.{k}), {0.2 if 'rate' in k else 2.0}) * {w}" for k, w in L.VOICE_WEIGHTS.items()]
     return f"round({' + '.join(terms)} + 1e-9, {digits})" if digits else f"({' + '.join(terms)})"
+
+
+def replaced(x: str, rules: list[tuple[str, str]], flags: str = "(?i)") -> str:
+    for pattern, new in rules:
+        x = f"regexp_replace({x}, {quote(flags + pattern)}, {quote(new)}, 'g')"
+    return x
+
+
+def cleaned(out: str, source: str) -> str:
+    """CTE out(doc_id, i, s, x): sentences s, cleaned as x; over text without accents."""
+    stacked = "very|really|quite|rather|somewhat|truly|basically"
+    first = [(rf"\b(?:{'|'.join(p)})\b{after}", new) for p, after, new in L.FILLERS]
+    first += [(rf"\b(?:{stacked})\b\s+\b({stacked})\b", r"\1"), (rf"\b(?:very|really|truly|quite)\s+({'|'.join(L.SLOPPY_ADJECTIVES)})\b", r"\1")]
+    then = [(r"(\w)\s*—\s*(\w)", r"\1, \2"), (r"(\w)\s*--\s*(\w)", r"\1, \2"), (r"\s+,", ","), (r",\s*,", ", "), (r"[ \t]{2,}", " ")]
+    last = [(r"^\s*,\s*", ""), (r"\s+([.?!,;:])", r"\1")]
+    return f"""
+{out}_a AS (SELECT *, {replaced("s", first)} AS x0 FROM {source}),
+{out}_b AS (SELECT *, {strip(replaced("x0", then, ""))} AS x1 FROM {out}_a),
+{out}_c AS (SELECT *, {replaced("x1", last, "")} AS x2 FROM {out}_b),
+{out} AS (SELECT doc_id, i, s, CASE WHEN x2 = '' THEN s WHEN regexp_matches(x2, '^[a-z]') THEN upper(left(x2, 1)) || x2[2:] ELSE x2 END AS x FROM {out}_c)"""
+
+
+def contracted(out: str, source: str, spread_out: str) -> str:
+    """CTE out(doc_id, text, x): texts contracted, or expanded where `spread_out` holds, if their rate is off the target."""
+    tokens = "regexp_extract_all(lower(text), '[a-z'']+')"
+    rate = f"round(len(list_filter({tokens}, lambda w: contains(w, chr(39)))) / greatest(1, len({tokens})), 4)"
+    contract = replaced("text", [(rf"\b{a}\b", b) for a, b in L.CONTRACTIONS])
+    expand = replaced("text", [(rf"\b{b}\b", a) for a, b in L.CONTRACTIONS])
+    return f"""
+{out}_r AS (SELECT *, {rate} AS rate, CASE WHEN {spread_out} THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS goal FROM {source}),
+{out} AS (SELECT *, CASE WHEN goal >= rate + 0.012::DOUBLE THEN {contract} WHEN goal <= rate - 0.012::DOUBLE THEN {expand} ELSE text END AS x FROM {out}_r)"""
