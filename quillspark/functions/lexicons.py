@@ -49,13 +49,11 @@ CONTRACTIONS = [
     ("I am", "I'm"), ("I have", "I've"), ("I will", "I'll"), ("we are", "we're"), ("they are", "they're"),
 ]
 
-# The passive construction.
-PASSIVE_AUXILIARIES = ["was", "were", "been", "being", "is", "are", "am", "get", "got", "gets", "getting"]
-PASSIVE_ADVERBS = ["not", "never", "always", "often", "already", "also", "then", "soon", "finally", "fully", "quickly", "slowly", "immediately", "subsequently", "reportedly", "recently"]
-PARTICIPLES = [
-    "written", "made", "done", "seen", "taken", "given", "found", "told", "known", "shown", "broken", "chosen", "driven", "eaten", "fallen", "forgotten",
-    "frozen", "hidden", "mistaken", "proven", "ridden", "risen", "shaken", "spoken", "stolen", "sworn", "torn", "worn", "woven",
-]
+# The passive construction, case aside.
+PASSIVE = (
+    r"\b(?:was|were|been|being|is|are|am|get|got|gets|getting)\s+(?:(?:not|never|always|often|already|also|then|soon|finally|fully|quickly|slowly|immediately|subsequently|reportedly|recently)\s+)*"
+    r"(?:\w+ed|written|made|done|seen|taken|given|found|told|known|shown|broken|chosen|driven|eaten|fallen|forgotten|frozen|hidden|mistaken|proven|ridden|risen|shaken|spoken|stolen|sworn|torn|worn|woven)\b"
+)
 
 # Adjectives before which an intensifier goes.
 SLOPPY_ADJECTIVES = [

@@ -23,3 +23,13 @@ PROFILE_SCALE = {
     "avg_sentence": 1 / 30, "sentence_spread": 1 / 18, "avg_paragraph": 1 / 180, "lexical_diversity": 1.0, "contraction_rate": 10.0, "dialogue_density": 1 / 4, "em_dash_rate": 2.5, "semicolon_rate": 3.5,
     "question_rate": 3.5, "exclamation_rate": 4.0, "fragment_rate": 1.0, "long_sentence_rate": 1.0, "modifier_density": 10.0, "concrete_density": 12.0, "abstract_density": 12.0,
 }
+# What the document modes are called, stand for and guard.
+MODE_POLICIES = {
+    "fiction": ("Fiction", "Fiction-safe", "Protect scene texture, dialogue rhythm, and chapter-style headings. Avoid essay-like cleanup that flattens narration.", ["Keep narration texture", "Do not force tidy conclusions", "Leave heading style alone"]),
+    "essay": ("Essay", "Essay mode", "Push hard on abstraction, filler, and generic wrap-up language while keeping an authorial argument intact.", ["Trim hedging", "Prefer direct claims", "Keep intentional structure"]),
+    "marketing": ("Marketing", "Marketing mode", "Keep persuasive energy and product voice, but trim brochure sludge, filler, and chatbot framing.", ["Preserve persuasive tone", "Cut brochure sludge", "Keep calls to action clear"]),
+    "business": ("Business", "Business mode", "Favour direct statements, concrete claims, and clean structure without forcing fiction-style vividness.", ["Prefer concrete claims", "Keep neutral clarity", "Avoid unnecessary flourish"]),
+    "worldbuilding": ("Worldbuilding", "Worldbuilding-safe", "Protect lore texture and elevated register, but still remove synthetic exposition and assistant residue.", ["Protect lore diction", "Keep chapter and codex texture", "Trim synthetic exposition"]),
+}
+#: Guardrails that are shown.
+SHOWN_GUARDRAILS = 2

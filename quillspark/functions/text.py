@@ -22,7 +22,7 @@ _ABBR = "|".join(re.escape(x) for x in [*L.ABBREVIATIONS, *L.ABBREVIATION_PAIRS]
 #: after an abbreviation, a single letter or a number with a full stop.
 SENTENCE_BREAK = rf"""(?U)(?<=[.!?]{CLOSERS}{{0,4}})(?<!(?:^|\s)(?i:{_ABBR}|\p{{L}}|\d{{1,12}})\.{{1,4}}{CLOSERS}{{0,4}})[ \t\n\r]+(?=[\p{{Lu}}\p{{Nd}}"'“‘])"""
 STRUCTURAL = r"^(?:\s*#{1,6}\s|\s*[-*+]\s|\s*\d+\.\s|\s*>\s|\s*```|\s*\|)"
-PASSIVE = rf"(?iU)\b(?:{'|'.join(L.PASSIVE_AUXILIARIES)})\s+(?:(?:{'|'.join(L.PASSIVE_ADVERBS)})\s+)*(?:\w+ed|{'|'.join(L.PARTICIPLES)})\b"
+PASSIVE = "(?iU)" + L.PASSIVE
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

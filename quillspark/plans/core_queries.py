@@ -13,6 +13,7 @@ from quillspark.functions import lexicons as L
 from quillspark.functions import text as T
 from quillspark.operators import rewrite, signals, voice
 from quillspark.plans import batch, core_sql as S, seeded
+from quillspark.sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -177,6 +178,14 @@ def voice_profile(spark, sf_dir):
     return _profiled(spark, sf_dir).select("doc_id", "p.*")
 
 
+@query(f"WITH t0 AS ({seeded.sql()}), c AS (SELECT doc_id, {S.strip('text')} AS text, CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE ' ' || source END AS name FROM t0 WHERE doc_id % 3 <> 0 AND {S.strip('text')} <> ''),{S.profiles('vp', 'c', 'doc_id', 'text')} SELECT doc_id AS id, coalesce(nullif({S.strip('name')}, ''), 'Untitled Voice') AS name, CAST(len(regexp_extract_all(lower(text), '[a-z'']+')) AS INTEGER) AS sample_size, {', '.join(voice.KEYS)} FROM vp JOIN c USING (doc_id)")
+def new_voice_packs(spark, sf_dir):
+    """Voice packs from the texts as samples; every third sample and some names are blank."""
+    n = F.col("doc_id")
+    d = corpus(spark, sf_dir).select(n.alias("id"), F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit(" "), "source")).alias("name"), F.when(n % 3 == 0, " \n").otherwise(F.col("text")).alias("sample_text"), F.lit("2024").alias("created_at"))
+    return store.new_packs(d).select("id", "name", "sample_size", "profile.*")
+
+
 _MEANS = ", ".join(f"round(avg({k}) + 1e-9, 4) AS {k}" for k in voice.KEYS)
 _BLEND = f"{_PROFILE}, b AS (SELECT source, {_MEANS} FROM vp JOIN c USING (doc_id) GROUP BY source)"
 

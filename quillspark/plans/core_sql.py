@@ -56,7 +56,7 @@ def words(patterns) -> str:
     return r"(?i)\b(?:" + "|".join(p.replace("'", "''") for p in patterns) + r")\b"
 
 
-PASSIVE = rf"(?i)\b(?:{'|'.join(L.PASSIVE_AUXILIARIES)})\s+(?:(?:{'|'.join(L.PASSIVE_ADVERBS)})\s+)*(?:\w+ed|{'|'.join(L.PARTICIPLES)})\b"
+PASSIVE = "(?i)" + L.PASSIVE
 FILLER = words(p for phrases, _, _ in L.FILLERS for p in phrases)
 MODIFIER = f"(w IN {names(L.INTENSIFIERS)} OR (w LIKE '%ly' AND w NOT IN {names(L.NOT_MODIFIERS)} AND length(w) > 3))"
 

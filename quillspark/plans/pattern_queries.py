@@ -160,6 +160,15 @@ def pattern_audit(spark, sf_dir):
     return d.select("doc_id", F.size("hits").cast("long").alias("hit_count"), F.round(H.humanizer_score(F.col("hits")) + 1e-9, 4).alias("humanizer_score"), cats.alias("top_categories"), F.array_join(F.transform(f, lambda x: x["priority"]), ",").alias("priorities"))
 
 
+@query(f"WITH {S.catalogue_hits()}, n AS (SELECT source, category, count(*) AS hits, count(DISTINCT h24.doc_id) AS documents, sum(severity) AS weight FROM h24 JOIN c USING (doc_id) GROUP BY source, category) SELECT source, upper(category[1]) || category[2:] AS category, hits, documents, round(weight + 1e-9, 4) AS weight FROM n")
+def pattern_category_totals(spark, sf_dir):
+    """Hits of a batch by category, by title; counts are made in every task before anything is shuffled."""
+    d = _with_hits(spark, sf_dir).select("doc_id", "source", F.explode_outer("hits").alias("h")).where("h IS NOT NULL")
+    per = d.groupBy("source", "doc_id", H.category(F.col("h.rule")).alias("category")).agg(F.count("*").alias("hits"), F.sum("h.severity").alias("weight"))
+    t = per.groupBy("source", "category").agg(F.sum("hits").alias("hits"), F.count("*").alias("documents"), F.round(F.sum("weight") + 1e-9, 4).alias("weight"))
+    return t.withColumn("category", P.title_case(F.col("category")))
+
+
 @query(S.gate())
 def pattern_gate(spark, sf_dir):
     """The gate over movements that follow from a document's number."""
