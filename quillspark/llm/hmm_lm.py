@@ -47,8 +47,8 @@ FOLDS, FOLD = 7, 2
 #: The end of a text; white space, so that no word is like it.
 END = b"\n"
 _FLUSH = 200_000
-#: Tokens of texts that run side by side, steps whose states are held at once, tokens whose emissions are added up at once.
-_GROUP, _SEGMENT, _HELD = 1 << 19, 4096, 1 << 17
+#: Tokens of texts that are read together and that run side by side, steps whose states are held at once, tokens whose emissions are added up at once.
+_GATHER, _GROUP, _SEGMENT, _HELD = 6_000_000, 1 << 19, 4096, 1 << 17
 
 
 def tail_class(token: bytes) -> int:
@@ -261,6 +261,19 @@ def _sequences(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), starts - starts[0]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of encoded texts joined to some of about _GATHER tokens: of many texts, those of like length run side by side."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column(batch.num_columns - 1).flatten())
+        if size >= _GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int, gain: float = GAIN) -> tuple:
     """Start, transition and emission probabilities after `rounds` over all encoded training texts, fewer if the likelihood no longer gains."""
     spark = training.sparkSession
@@ -274,7 +287,7 @@ def baum_welch(training: DataFrame, vocabulary, params: tuple, rounds: int, gain
             pi, a, b = shared.value
             # rows by class; before them the start, the likelihood and the transitions from each state
             other, emissions = np.zeros((2 + k, k)), np.zeros((c, k)).T
-            for batch in batches:
+            for batch in _gathered(batches):
                 seq, starts = _sequences(batch.column(0))
                 for which in _groups(starts):
                     begin, trans, _, likelihood = expected(seq, starts, pi, a, b, which, emissions=emissions)
@@ -327,7 +340,7 @@ def _scored(encoded: DataFrame, params) -> DataFrame:
     """The columns of `encoded` with `states`, the states' log10 likelihood of the classes, in place of the last one, `classes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             *others, classes = batch.columns
             yield pa.RecordBatch.from_arrays([*others, pa.array(forward(*_sequences(classes), *params.value))], names=[*batch.schema.names[:-1], "states"])
 
