@@ -299,13 +299,20 @@ def fence_blocks(spark, sf_dir):
     return d.select("doc_id", "block", "b.prose", "b.text")
 
 
+def _packs(spark, sf_dir):
+    """One pack, the voice of documents labelled as good."""
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return _profiled(spark, sf_dir).join(good, "doc_id").agg(voice.blended(F.col("p")).alias("profile")).select(F.lit("good").alias("id"), "profile")
+
+
 def _processed(spark, sf_dir):
     docs = corpus(spark, sf_dir).select(F.col("source").alias("batch_id"), "doc_id", F.col("text").alias("original_text"))
     number = F.regexp_replace("batch_id", "src", "").cast("int") % 3
     mode = F.when(number == 0, "house-voice").when(number == 1, "hybrid").otherwise("preserve-batch-voice")
-    batches = docs.select("batch_id").distinct().select("batch_id", mode.alias("mode"), F.when(number == 2, "minimal").otherwise("medium").alias("edit_budget"), F.lit("We can't wait. It's late! The rain fell on the roof all night, and nobody slept.").alias("house_voice_samples"), F.lit(None).cast("string").alias("voice_pack_id"))
-    packs = spark.createDataFrame([], "id string, profile struct<" + ",".join(f"{k}:double" for k in voice.KEYS) + ">")
-    return batch.process(docs, batches, packs)
+    digit = F.regexp_replace("batch_id", "src", "").cast("int")
+    pack = F.when(digit % 2 == 0, F.when(digit % 4 == 0, "good").otherwise("no such pack"))
+    batches = docs.select("batch_id").distinct().select("batch_id", mode.alias("mode"), F.when(number == 2, "minimal").otherwise("medium").alias("edit_budget"), F.lit("We can't wait. It's late! The rain fell on the roof all night, and nobody slept.").alias("house_voice_samples"), pack.alias("voice_pack_id"))
+    return batch.process(docs, batches, _packs(spark, sf_dir))
 
 
 @query()
@@ -330,9 +337,8 @@ def portable_check(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     seed = F.element_at(F.array(*map(F.lit, seeded.SEEDS)), (F.col("conv_id") % len(seeded.SEEDS) + 1).cast("int"))
     mode = F.element_at(F.array(*map(F.lit, rewrite.MODES)), (F.col("turn") % 5 + 1).cast("int"))
-    r = c.select("conv_id", "turn", F.concat_ws(" ", "text", seed).alias("text"), mode.alias("document_mode"), F.lit("hybrid").alias("mode"), F.lit(None).cast("string").alias("edit_budget"), (F.col("turn") % 3 < 2).alias("rewrite"), F.lit("Short. It's plain.").alias("house_voice_samples"), F.lit("").alias("voice_pack_id"))
-    packs = spark.createDataFrame([], "id string, profile struct<" + ",".join(f"{k}:double" for k in voice.KEYS) + ">")
-    out = batch.check(r, packs)
+    r = c.select("conv_id", "turn", F.concat_ws(" ", "text", seed).alias("text"), mode.alias("document_mode"), F.lit("hybrid").alias("mode"), F.lit(None).cast("string").alias("edit_budget"), (F.col("turn") % 3 < 2).alias("rewrite"), F.lit("Short. It's plain.").alias("house_voice_samples"), F.when(F.col("turn") % 2 == 0, "good").otherwise("").alias("voice_pack_id"))
+    out = batch.check(r, _packs(spark, sf_dir))
     return out.select("conv_id", "turn", "revised_text", "change_count", "quality_delta", "detector_risk_delta", "voice_similarity_score", "accepted")
 
 

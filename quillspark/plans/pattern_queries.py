@@ -14,6 +14,7 @@ from quillspark.operators import diff as D
 from quillspark.operators import pattern_hits as H
 from quillspark.operators import pattern_metrics as M
 from quillspark.operators import pattern_rewrite as W
+from quillspark.operators import workflow as K
 from quillspark.plans import exports as X
 from quillspark.plans import pattern_rerun as R
 from quillspark.plans import pattern_run as N
@@ -264,6 +265,21 @@ def pattern_run_summary(spark, sf_dir):
     return N.summary(_run(spark, sf_dir))
 
 
+@query()
+def run_outcomes(spark, sf_dir):
+    """From text to review: what a run and the log make of each document, as it is listed and in words."""
+    d = K.explained(N.states(_run(spark, sf_dir), review_log(spark, sf_dir)))
+    return d.select("doc_id", "batch_id", "mode", "mode_pending", "touched", "material", "priority", "review_state", K.display_state().alias("state"), "outcome", "summary", "next_step")
+
+
+@query()
+def run_batch_outcomes(spark, sf_dir):
+    """From text to the batches' outcomes, in words."""
+    _, batches = _inputs(spark, sf_dir)
+    s = K.batch_summary(N.states(_run(spark, sf_dir), review_log(spark, sf_dir)), "batch_id")
+    return K.batch_outcomes(batches.select("batch_id", F.lit("done").alias("status")), s, "batch_id")
+
+
 @query()
 def pattern_residue_fixes(spark, sf_dir):
     """What the second pass did to each text, in order."""

@@ -93,6 +93,21 @@ def test_batches(spark):
     assert one[1].change_count > 0 and one[1].quality_delta >= -2
 
 
+def test_targets_take_a_pack_then_a_sample_then_the_batch(spark):
+    docs = spark.createDataFrame([(b, i, CLEAN) for i, b in enumerate(["pack", "sample", "neither", "hybrid", "own"])], "batch_id string, doc_id long, original_text string")
+    rows = [("pack", "house-voice", SLOPPY, "p"), ("sample", "house-voice", SLOPPY, "unknown"), ("neither", "house-voice", " \n", None), ("hybrid", "hybrid", SLOPPY, "p"), ("own", "preserve-batch-voice", SLOPPY, "p")]
+    batches = spark.createDataFrame([(b, m, "medium", s, p) for b, m, s, p in rows], "batch_id string, mode string, edit_budget string, house_voice_samples string, voice_pack_id string")
+    pack = {k: i / 8 for i, k in enumerate(voice.KEYS)}
+    packs = spark.createDataFrame([("p", pack), ("q", pack)], "id string, profile struct<" + ",".join(f"{k}:double" for k in voice.KEYS) + ">")
+    got = {r.batch_id: r for r in batch.targets(signals.analyse(docs, "original_text", "original_analysis"), batches, packs).collect()}
+    profile = lambda text: voice.profiled(spark.createDataFrame([(text,)], "t string"), "t", "p").first().p.asDict()
+    assert got["pack"].target_profile.asDict() == pack and got["sample"].target_profile.asDict() == profile(SLOPPY)
+    for name in ("neither", "own"):
+        assert got[name].target_profile == got[name].batch_profile
+    own = got["hybrid"].batch_profile.asDict()
+    assert got["hybrid"].target_profile.asDict() == {k: pytest.approx((own[k] + pack[k]) / 2, abs=1e-4) for k in voice.KEYS}
+
+
 def test_slugify_covers_the_whole_text(spark, tmp_path):
     texts = ["One two " * 40 + "the END.", "-" * 70 + "Late", "  ", "x"]
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
