@@ -13,6 +13,7 @@ from quillspark.functions import lexicons as L
 from quillspark.functions import text as T
 from quillspark.operators import rewrite, signals, voice
 from quillspark.plans import batch, core_sql as S, seeded
+from quillspark.plans.lineage import kept
 from quillspark.sources import store
 
 QUERIES: dict = {}
@@ -152,13 +153,14 @@ def detector_risk(spark, sf_dir):
     return signals.scores(corpus(spark, sf_dir)).select("doc_id", "detector_risk")
 
 
-_CLEAN = f"""{_FACTS},{S.annotations("ann", "f", "doc_id")},
+_UNFLAGGED = f"""
 p0 AS (SELECT doc_id, unnest(string_split_regex({S.strip('text')}, '\\n{{2,}}')) AS q, unnest(range(len(string_split_regex({S.strip('text')}, '\\n{{2,}}')))) AS j FROM c),
 p1 AS (SELECT doc_id * 100000 + j AS pk, doc_id, j, {S.strip('q')} AS q FROM p0 WHERE {S.strip('q')} <> ''),{S.sentences('ps', 'p1', 'pk', 'q')},
 left_over AS (SELECT doc_id, j, i, s FROM ps JOIN p1 USING (pk) WHERE NOT EXISTS (FROM ann WHERE ann.doc_id = p1.doc_id AND severity >= 55 AND {S.strip('original')} = {S.strip('s')})),
 paras AS (SELECT doc_id, j, string_agg(s, ' ' ORDER BY i) AS q FROM left_over GROUP BY doc_id, j),
 clean AS (SELECT doc_id, string_agg(q, chr(10) || chr(10) ORDER BY j) AS q FROM paras GROUP BY doc_id),
 cl AS (SELECT doc_id, source, CASE WHEN EXISTS (FROM ann WHERE ann.doc_id = c.doc_id AND severity >= 55) THEN coalesce(nullif({S.strip('q')}, ''), text) ELSE text END AS clean_text FROM c LEFT JOIN clean USING (doc_id))"""
+_CLEAN = f"""{_FACTS},{S.annotations("ann", "f", "doc_id")},{_UNFLAGGED}"""
 
 
 @query(_CLEAN + " SELECT doc_id, clean_text FROM cl")
@@ -346,3 +348,61 @@ def portable_check(spark, sf_dir):
 def detector_results_unpivot(spark, sf_dir):
     s = signals.scores(corpus(spark, sf_dir)).select("doc_id", "detector_risk", "quality_score")
     return s.select("doc_id", F.expr("stack(2, 'original', 'local-risk-panel', detector_risk, 'quality', 'local-quality', quality_score) AS (phase, detector, score)"))
+
+
+_KEYS = ", ".join(voice.KEYS)
+_ANALYSED = f"{S.core()},{_UNFLAGGED},{S.profiles('vp', 'cl', 'doc_id', 'clean_text')} SELECT doc_id, sig.source, directness, density, rhythm, authenticity, specificity, quality_score, detector_risk, {_KEYS} FROM sig JOIN vp USING (doc_id)"
+_PLAIN_ANALYSED = _ANALYSED.replace(S.BASE, "c AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents)")
+_NUMBER = "CAST(replace(b.source, 'src', '') AS INTEGER) % 3"
+_MOVED = f"""WITH o AS (WITH {_ANALYSED}), r AS (WITH {_PLAIN_ANALYSED}),
+b AS (SELECT source, {_MEANS} FROM o GROUP BY source), h AS (SELECT {_MEANS} FROM o JOIN labels l USING (doc_id) WHERE l.quality = 1),
+tg AS (SELECT b.source, {', '.join(f'CASE {_NUMBER} WHEN 0 THEN h.{k} WHEN 1 THEN round((b.{k} + h.{k}) / 2 + 1e-9, 4) ELSE b.{k} END AS {k}' for k in voice.KEYS)} FROM b, h),
+mv0 AS (SELECT o.doc_id, o.source, o.quality_score AS q0, r.quality_score AS q1, o.detector_risk AS d0, r.detector_risk AS d1, {S.distance('r', 'tg')} AS far, {_reason('tg', 'r')} AS reason FROM o JOIN r USING (doc_id) JOIN tg ON tg.source = o.source),
+mv AS (SELECT doc_id, source, q0, q1, round(q1 - q0, 1) AS qd, d0, d1, round(d0 - d1, 1) AS dd, greatest(0, least(100, round(CAST(CAST(100 - 100 * far AS VARCHAR) AS DECIMAL(30, 20)), 1)))::DOUBLE AS alike, far, reason FROM mv0),
+out AS (SELECT mv.*, far >= 0.32 OR alike < 74 AS is_outlier, CASE WHEN far >= 0.32 OR alike < 74 THEN reason ELSE '' END AS outlier_reason FROM mv)"""
+
+
+def _shortened(spark, sf_dir):
+    """What a run makes of documents of which a revision is given: the texts without what was added to them.
+
+    Analyses, targets, movements and outliers are those of a run; only the rewriting, which SQL can't express, is not in it.
+    """
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("revised_text"))
+    docs = corpus(spark, sf_dir).select(F.col("source").alias("batch_id"), "doc_id", F.col("text").alias("original_text")).join(plain, "doc_id")
+    analysed = kept(signals.analyse(signals.analyse(docs, "original_text", "original_analysis"), "revised_text", "revised_analysis").drop("original_text", "revised_text"))
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    packs = analysed.join(good, "doc_id").agg(voice.blended(F.col("original_analysis.voice_profile")).alias("profile")).select(F.lit("good").alias("id"), "profile")
+    number = F.regexp_replace("batch_id", "src", "").cast("int") % 3
+    mode = F.when(number == 0, "house-voice").when(number == 1, "hybrid").otherwise("preserve-batch-voice")
+    batches = analysed.select("batch_id").distinct().select("batch_id", mode.alias("mode"), F.lit("medium").alias("edit_budget"), F.lit("").alias("house_voice_samples"), F.lit("good").alias("voice_pack_id"))
+    t = batch.targets(analysed, batches, packs).select("batch_id", "target_profile")
+    d = batch.outliers(batch.deltas(analysed.join(t, "batch_id"))).withColumn("status", F.lit("done"))
+    return d.withColumns({"id": F.col("doc_id"), "name": F.concat(F.lit("Doc "), "doc_id")})
+
+
+@query(f"{_MOVED} SELECT doc_id AS document_id, 'Doc ' || doc_id AS name, q0 AS quality_original, q1 AS quality_revised, qd AS quality_delta, d0 AS detector_risk_original, d1 AS detector_risk_revised, dd AS detector_risk_delta, alike AS voice_similarity_score, is_outlier, outlier_reason FROM out")
+def score_report(spark, sf_dir):
+    """The scores report of documents of which a revision is given."""
+    return store.score_rows(_shortened(spark, sf_dir))
+
+
+@query(f"WITH o AS (WITH {_ANALYSED}), r AS (WITH {_PLAIN_ANALYSED}) SELECT doc_id AS document_id, 'original' AS phase, 'local-risk-panel' AS detector_name, detector_risk AS raw_score FROM o UNION ALL SELECT doc_id, 'revised', 'local-risk-panel', detector_risk FROM r")
+def detector_results(spark, sf_dir):
+    """Detector results, two rows a document."""
+    return store.phase_rows(_shortened(spark, sf_dir))[0]
+
+
+@query(f"WITH o AS (WITH {_ANALYSED}), r AS (WITH {_PLAIN_ANALYSED}), x AS (SELECT 'original' AS phase, * FROM o UNION ALL SELECT 'revised', * FROM r) SELECT doc_id AS document_id, phase, directness, density, rhythm, authenticity, specificity, quality_score FROM x")
+def quality_results(spark, sf_dir):
+    """Axes and quality, two rows a document."""
+    return store.phase_rows(_shortened(spark, sf_dir))[1].select("document_id", "phase", "scores.*", "quality_score")
+
+
+@query(
+    f"""{_MOVED}, pv AS (SELECT a.source, avg({S.distance('a', 'b2', None)}) AS v FROM r a JOIN r b2 ON a.source = b2.source AND a.doc_id < b2.doc_id GROUP BY a.source)
+SELECT out.source AS batch_id, count(*) AS document_count, round(avg(qd) + 1e-9, 1) AS avg_quality_delta, round(avg(dd) + 1e-9, 1) AS avg_detector_risk_delta, round(avg(alike) + 1e-9, 1) AS avg_voice_similarity,
+  count(*) FILTER (is_outlier) AS outlier_count, round(round(coalesce(any_value(v), 0) + 1e-9, 4), 3) AS batch_voice_variance FROM out LEFT JOIN pv ON pv.source = out.source GROUP BY out.source"""
+)
+def movement_summary(spark, sf_dir):
+    """The summary of batches of documents of which a revision is given."""
+    return batch.summary(_shortened(spark, sf_dir))
