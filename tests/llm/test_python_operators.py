@@ -288,6 +288,35 @@ def test_near_duplicates_in_long_lists(documents):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(linked(df.collect(), 2))
 
 
+def test_near_duplicates_pairs_of_a_large_group(documents, monkeypatch):
+    """Texts at the edge of a large group are not compared with all of it, and links are as by brute force."""
+    rng, out, made = random.Random(7), [], []
+    families = [[f"b{i}" for i in range(146)] for _ in range(6)]
+    change = lambda t, n: [f"v{rng.randrange(60)}" if i in at else w for at in [set(rng.sample(range(146), min(146, n)))] for i, w in enumerate(t)]
+    families = [change(t, rng.choice([0, 2, 4, 6])) for t in families]
+    for k in range(400):
+        out.append((k, " ".join(change(rng.choice(families), int(rng.expovariate(1 / 3)))), "en", "a"))
+
+    def counted(near, *rest, f=near_dedup._similar_sets):
+        made.append(near.count())
+        return f(near, *rest)
+
+    monkeypatch.setattr(near_dedup, "_similar_sets", counted)
+    df = documents(out)
+    got = near_dedup.link(df, 2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(linked(df.collect(), 2))
+    assert sum(made[1:]) < len(out), made
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(5)
+    for n in (1, 10, 300, 5000):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = both[: n - n // 5], both[n // 5 :]
+        apart = sum(int(w).bit_count() for w in (near_dedup.sketch(x) ^ near_dedup.sketch(y)).view(np.uint64))
+        assert apart <= 2 * (n // 5) and (n > 300 or apart >= n // 5)
+
+
 def test_components_of_chains(spark):
     edges = [(i + 1, i) for i in range(50)] + [(101, 100), (103, 101), (103, 102)]
     got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
