@@ -324,6 +324,47 @@ def test_components_of_chains(spark):
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, run):
+    """What run() returns and the number of Spark jobs that it took."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    out = run()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_components_end_with_stars(spark):
+    """Edges that are stars need no round; others are searched as before, with roots of any depth."""
+    stars = [(100 * i + j, 100 * i) for i in range(5) for j in range(1, 9)]
+    got, jobs = jobs_of(spark, lambda: near_dedup.components(spark.createDataFrame(stars, "a long, b long")))
+    assert {r.node: r.root for r in got.collect()} == {a: b for a, b in stars} | {b: b for _, b in stars}
+    assert jobs < 6, jobs
+    rng = random.Random(4)
+    edges = {(max(e), min(e)) for e in (rng.sample(range(300), 2) for _ in range(200))}
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in near_dedup.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()} == root
+
+
+def test_sets_ask_the_driver_once(spark, documents):
+    """The bitmap of wanted texts takes no job for each of many shuffle partitions."""
+    df = documents([(i, f"text number {i} of some words", "en", "a") for i in range(40)]).withColumn("key", near_dedup.text_key("text"))
+    identity = {i: near_dedup._identity(near_dedup.shingles(f"text number {i} of some words".encode(), 2)) for i in range(0, 40, 3)}
+    wanted = spark.createDataFrame([(1000 + i, identity[i], i) for i in identity], "nid long, node binary, id long")
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got, jobs = jobs_of(spark, lambda: near_dedup._sets(df, wanted, 2))
+        assert sorted(r.nid for r in got.collect()) == [1000 + i for i in identity]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert jobs < 40, jobs
+
+
 def brute_search(rows, k, every):
     vectors = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
