@@ -117,8 +117,9 @@ def scores(df: DataFrame, text: str = "text") -> DataFrame:
     }
     df = df.withColumns({f"__{k}": T.clamp(v.cast("double")) for k, v in axis.items()})
     risk = c("filler_hits") * 7 + c("modifier_hits") * 1.3 + c("transition_hits") * 5 + c("cliche_hits") * 9 + c("repeated_starts") * 7 + c("monotonous_runs") * 6 + c("passive_hits") * 4 + short(0.72) * 70 + c("dashes") * 4
-    out = {k: F.round(c(f"__{k}"), 1) for k in AXES}
-    out |= {"quality_score": F.round(sum((c(f"__{k}") for k in AXES[1:]), c(f"__{AXES[0]}")) / 5, 1), "detector_risk": F.round(T.clamp(risk.cast("double")), 1)}
+    # means of shares fall a little short of a half or go beyond it, by the order in which they are summed
+    out = {k: T.rounded(c(f"__{k}"), 1) for k in AXES}
+    out |= {"quality_score": T.rounded(sum((c(f"__{k}") for k in AXES[1:]), c(f"__{AXES[0]}")) / 5, 1), "detector_risk": T.rounded(T.clamp(risk.cast("double")), 1)}
     return df.withColumns(out)
 
 

@@ -116,3 +116,11 @@ def test_slugify_covers_the_whole_text(spark, tmp_path):
     whole = {r.doc_id: r.text for r in core_queries.corpus(spark, str(tmp_path)).collect()}
     assert got == {i: re.sub(r"[^a-zA-Z0-9]+", "-", t.strip().lower()).strip("-") or "untitled" for i, t in whole.items()}
     assert got[0].startswith("one-two-" * 40 + "the-end")
+
+
+@pytest.mark.parametrize("distinct,column,want", [([2, *[3] * 11], "specificity", 71.8), ([1, 1, 1, 4], "detector_risk", 38.2)])
+def test_scores_round_halves_up_whatever_the_sum_of_shares(spark, distinct, column, want):
+    """Chunks of ten words with so many distinct ones: the score is 71.75 and 38.15, the sum of shares falls short of it."""
+    words = " ".join(" ".join(f"w{'abcdefghij'[min(i, n - 1)]}" for i in range(10)) for n in distinct)
+    df = spark.createDataFrame([(words,)], "text string")
+    assert signals.scores(df).first()[column] == want
