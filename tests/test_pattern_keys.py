@@ -54,3 +54,12 @@ def test_white_space_classes_agree(spark):
     chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
     df = spark.createDataFrame([(c,) for c in chars], "c string")
     assert {r.c for r in df.where(F.rlike("c", F.lit(f"^{P.BLANK}\\z"))).collect()} == set(P.SPACES)
+
+
+def test_phrases_are_found_wherever_they_are(spark):
+    """Inside words, beside signs and at both ends: the looks for beginnings of words leave none out."""
+    phrases = [(i, 0, p) for i, p in enumerate(p for rule in R.RULES for p in rule.phrases)]
+    texts = [a + p + b for _, _, p in phrases for a, b in (("", ""), ("un", "s"), ("(", ")"), ("it was x ", "ed, and"))] + ["", "nothing here"]
+    low = F.col("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(P.phrases_in(low, P.beginnings(low, [p for _, _, p in phrases]), phrases), lambda r: r["n"]).alias("n"))
+    assert all(sorted(r.n) == [n for n, _, p in phrases if p in r.t] for r in df.collect())
