@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from functools import reduce
 
 import pytest
@@ -63,3 +64,12 @@ def test_phrases_are_found_wherever_they_are(spark):
     low = F.col("t")
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.transform(P.phrases_in(low, P.beginnings(low, [p for _, _, p in phrases]), phrases), lambda r: r["n"]).alias("n"))
     assert all(sorted(r.n) == [n for n, _, p in phrases if p in r.t] for r in df.collect())
+
+
+def test_long_sentences_without_three_clauses_are_told_at_once(spark):
+    """Two times "was" among thousands of commas: no reading of the pattern is tried."""
+    text = "was , " + "so, " * 1500 + "was here, " + "and so, " * 1500
+    began = time.time()
+    assert spark.createDataFrame([(text,)] * 4, "t string").select(W.collapse_subject_clauses(F.col("t")).alias("o")).distinct().collect()[0].o == text
+    assert time.time() - began < 30
+    assert spark.createDataFrame([("The Hall WAS dark, the hall was cold, and the hall was empty.",)], "t string").select(W.collapse_subject_clauses(F.col("t")).alias("o")).first().o == "The Hall was dark, cold, and empty."
